@@ -32,11 +32,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_bytes, slices
+from .common import Memory, distinct, raw_bytes, slices
 from .merging import merge
 
-#: Distinct pre-tokens that a worker remembers; when full, the memory starts anew.
-CACHE = 400_000
+#: Distinct pre-tokens in each of the two generations that a worker remembers.
+CACHE = 300_000
 
 # Classes of code points.
 _LETTER, _NUMBER, _OTHER, _QUOTE, _BLANK, _WHITE = range(6)
@@ -185,33 +185,36 @@ def boundaries(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Tokenizer:
-    """Ranks of byte strings; ``ids`` of a pre-token are cached."""
+    """Ranks of byte strings; the ids of pre-tokens are remembered."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.vocabulary = dict(zip(ranks.values(), ranks.keys(), strict=True))
-        self.cache: dict[bytes, bytes] = {}
+        self.memory = Memory(CACHE)
 
     def ids(self, piece: bytes) -> bytes:
         """The ids of a pre-token as little-endian 32-bit integers."""
-        whole = self.ranks.get(piece)
-        found = [whole] if whole is not None else [self.ranks[p] for p in merge([piece[i : i + 1] for i in range(len(piece))], self.ranks)]
-        packed = struct.pack(f"<{len(found)}i", *found)
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        if len(piece) <= 256:
-            self.cache[piece] = packed
+        if (packed := self.memory.get(piece)) is None:
+            whole = self.ranks.get(piece)
+            found = [whole] if whole is not None else [self.ranks[p] for p in merge([piece[i : i + 1] for i in range(len(piece))], self.ranks)]
+            packed = struct.pack(f"<{len(found)}i", *found)
+            if len(piece) <= 256:
+                self.memory.put(piece, packed)
         return packed
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts end to end, and the n+1 offsets of the texts in them."""
         starts = boundaries(data, offsets)
-        body = data.tobytes()
-        ends = np.append(starts[1:], len(body))
-        get, ids = self.cache.get, self.ids
-        found = [get(p) or ids(p) for p in map(body.__getitem__, map(slice, starts.tolist(), ends.tolist()))]
-        before = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) >> 2)])
-        return np.frombuffer(b"".join(found), "<i4"), before[np.searchsorted(starts, offsets)]
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        pieces, place = distinct(data, starts, np.array([len(data)]))
+        known = list(map(self.ids, pieces))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        first = np.cumsum(sizes) - sizes
+        before = np.concatenate([[0], np.cumsum(sizes[place])])
+        flat = np.frombuffer(b"".join(known), "<i4")
+        at = np.repeat(first[place] - before[:-1], sizes[place]) + np.arange(before[-1])
+        return flat[at], before[np.searchsorted(starts, offsets)]
 
     @property
     def sizes(self) -> np.ndarray:
@@ -248,30 +251,20 @@ def encode_slice(part: pa.RecordBatch, text_col: str, tok: Tokenizer) -> tuple[n
     return flat, by_text, own
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, offsets array<int>): token ids and the byte at which each token starts."""
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
-    kind = rows.schema[id_col].dataType.simpleString()
-
+def _encoded(path: str, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in batches:
             for part in slices(batch, text_col):
                 flat, by_text, own = encode_slice(part, text_col, tok)
                 cuts = pa.array(by_text.astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(id_col), pa.ListArray.from_arrays(cuts, pa.array(flat)), pa.ListArray.from_arrays(cuts, pa.array(own.astype(np.int32)))],
-                    names=[id_col, "ids", "offsets"],
-                )
-
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, offsets array<int>")
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (flat, own)]
+                yield pa.RecordBatch.from_arrays([part.column(id_col), *lists], names=[id_col, "ids", "offsets"])
 
+    return run
 
-def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, the columns in ``keep``, text binary): the bytes that the ids stand for; null ids count as none."""
-    rows = encoded.select(id_col, *keep, *({ids_col} - set(keep)))
-    schema = ", ".join(f"`{f}` {rows.schema[f].dataType.simpleString()}" for f in (id_col, *keep))
 
+def _decoded(path: str, columns: tuple[str, ...], ids_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in batches:
@@ -281,10 +274,35 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             ends = np.concatenate([[0], np.cumsum(tok.sizes[flat])])
             cuts = ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int64)
             body = b"".join(map(tok.vocabulary.__getitem__, flat.tolist()))
-            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(body)])
-            yield pa.RecordBatch.from_arrays([*[batch.column(f) for f in (id_col, *keep)], texts.cast(pa.binary())], names=[id_col, *keep, "text"])
+            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(cuts), pa.py_buffer(body)])
+            yield pa.RecordBatch.from_arrays([*[batch.column(f) for f in columns], texts.cast(pa.binary())], names=[*columns, "text"])
+
+    return run
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
+    return rows, rows.schema[id_col].dataType.simpleString()
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids array<int>, offsets array<int>): token ids and the byte at which each token starts."""
+    rows, kind = _rows(docs, id_col, text_col)
+    return rows.mapInArrow(_encoded(path, id_col, text_col), f"`{id_col}` {kind}, ids array<int>, offsets array<int>")
+
+
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, the columns in ``keep``, text binary): the bytes that the ids stand for; null ids count as none."""
+    rows = encoded.select(id_col, *keep, *({ids_col} - set(keep)))
+    schema = ", ".join(f"`{f}` {rows.schema[f].dataType.simpleString()}" for f in (id_col, *keep))
+    return rows.mapInArrow(_decoded(path, (id_col, *keep), ids_col), schema + ", text binary")
+
 
-    return rows.mapInArrow(run, schema + ", text binary")
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, text binary): encoded and decoded again in one pass, one worker after the other on the same batch."""
+    rows, kind = _rows(docs, id_col, text_col)
+    encoded, decoded = _encoded(path, id_col, text_col), _decoded(path, (id_col, "ids"), "ids")
+    return rows.mapInArrow(lambda batches: decoded(encoded(batches)), f"`{id_col}` {kind}, ids array<int>, text binary")
 
 
 def span(ids: list[int], offsets: list[int], start: int, end: int, tok: Tokenizer) -> bytes:

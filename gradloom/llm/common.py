@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 #: Text bytes that one Arrow slice hands to numpy at a time, so that a worker's
 #: memory follows this and not the length of a batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 8 << 20
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[ord(c) for c in SPACE]] = True
@@ -27,12 +29,14 @@ _ODD = 0x9E3779B97F4A7C15
 _POWERS = {False: np.ones(1, np.uint64), True: np.ones(1, np.uint64)}
 
 
-def ensure_importable(spark: SparkSession) -> None:
-    """Let local Python workers import this package wherever the driver was started.
+def prepare(spark: SparkSession) -> None:
+    """Bound Arrow batches and let local Python workers import this package wherever the driver was started.
 
     On a cluster the package is shipped with ``--py-files``; adding the path is harmless there.
     """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    # Arrow batches are bounded by bytes, so that long texts don't add up in a worker.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
@@ -167,6 +171,33 @@ def shingles(hashes: np.ndarray, word_offsets: np.ndarray, width: int) -> tuple[
     return mixed(out), offsets
 
 
+def distinct(body: bytes | np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct spans of ``body`` and, for each span, its place among them. Spans must follow each other without gaps."""
+    cuts = np.append(starts, ends[-1:]).astype(np.int64)
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(body)])
+    coded = spans.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+
+
+class Memory:
+    """A bounded mapping of two generations: when the younger is full it becomes the older one, so that what
+    is used often stays."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 def sums_by_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of ``values`` between consecutive offsets, zero for empty texts."""
     before = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])

@@ -9,21 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, exactdup, quality, tokencount, warc
-from .common import ensure_importable
+from .common import prepare
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ensure_importable(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(RANKS)
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path)
-    return bpe.decode(encoded, path, keep=("ids",)).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS)).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

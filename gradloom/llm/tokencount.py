@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_bytes, slices, sums_by_text
+from .common import Memory, distinct, raw_bytes, slices, sums_by_text
 from .merging import merge
 
-#: Distinct pre-tokens that a worker remembers beside the whole tokens.
-CACHE = 400_000
+#: Distinct pre-tokens in each of the two generations that a worker remembers, beside the whole tokens.
+CACHE = 300_000
 #: The model's mark for a space.
 MARK = "▁"
 
@@ -46,15 +46,14 @@ class Counter:
         self.loose = np.zeros(256, bool)
         self.loose[[i for i in range(128) if chr(i) not in used and chr(i) != " "]] = True
         self.whole = {piece.replace(MARK, " ").encode(): 1 for piece in scores if len(merge(list(piece), self.ranks)) == 1}
-        self.cache = dict(self.whole)
+        self.memory = Memory(CACHE)
 
     def count(self, pre_token: bytes) -> int:
-        parts = merge(list(pre_token.decode().replace(" ", MARK)), self.ranks)
-        n = sum(1 if p in self.ranks else len(p.encode()) for p in parts)
-        if len(self.cache) >= CACHE + len(self.whole):
-            self.cache = dict(self.whole)
-        if len(pre_token) <= 256:
-            self.cache[pre_token] = n
+        if (n := self.whole.get(pre_token) or self.memory.get(pre_token)) is None:
+            parts = merge(list(pre_token.decode().replace(" ", MARK)), self.ranks)
+            n = sum(1 if p in self.ranks else len(p.encode()) for p in parts)
+            if len(pre_token) <= 256:
+                self.memory.put(pre_token, n)
         return n
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -69,11 +68,9 @@ class Counter:
             first[1:] |= space[1:] & ~space[:-1]
         first[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(first)
-        body = data.tobytes()
-        ends = np.append(starts[1:], len(body)).tolist()
-        get, count = self.cache.get, self.count
-        found = [get(p) or count(p) for p in map(body.__getitem__, map(slice, starts.tolist(), ends))]
-        return sums_by_text(np.array(found, np.int64), np.searchsorted(starts, offsets))
+        pieces, place = distinct(data, starts, np.array([len(data)]))
+        found = np.fromiter(map(self.count, pieces), np.int64, len(pieces))
+        return sums_by_text(found[place], np.searchsorted(starts, offsets))
 
 
 def _plain(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
