@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exactdup, quality, tokencount, warc
+from . import bpe, chat, exactdup, mixing, quality, tokencount, warc
 from .common import prepare
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -60,6 +60,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_format": op4_chat_format,
         "op5_warc": op5_warc,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_mixing": op9_mixing,
         "op10_quality_rules": op10_quality_rules,
     }
 
