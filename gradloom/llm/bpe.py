@@ -28,12 +28,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memory, distinct, raw_bytes, slices
-from .merging import merge
 
 #: Distinct pre-tokens in each of the two generations that a worker remembers.
 CACHE = 300_000
@@ -185,18 +185,22 @@ def boundaries(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Tokenizer:
-    """Ranks of byte strings; the ids of pre-tokens are remembered."""
+    """Ranks of byte strings; the ids of pre-tokens are remembered.
+
+    The merges of a pre-token that isn't remembered run in tiktoken's merge loop, which gets every
+    pre-token whole: its pattern matches anything.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.vocabulary = dict(zip(ranks.values(), ranks.keys(), strict=True))
+        self.merger = tiktoken.Encoding("pre-tokens", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
         self.memory = Memory(CACHE)
 
     def ids(self, piece: bytes) -> bytes:
         """The ids of a pre-token as little-endian 32-bit integers."""
         if (packed := self.memory.get(piece)) is None:
-            whole = self.ranks.get(piece)
-            found = [whole] if whole is not None else [self.ranks[p] for p in merge([piece[i : i + 1] for i in range(len(piece))], self.ranks)]
+            found = self.merger.encode_ordinary(piece.decode())
             packed = struct.pack(f"<{len(found)}i", *found)
             if len(piece) <= 256:
                 self.memory.put(piece, packed)

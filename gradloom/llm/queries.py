@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exactdup, mixing, quality, tokencount, warc
+from . import bpe, chat, exactdup, mixing, packing, quality, tokencount, warc
 from .common import prepare
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -56,6 +56,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_chat_format": op4_chat_format,
         "op5_warc": op5_warc,
+        "op6_packing": op6_packing,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mixing": op9_mixing,
         "op10_quality_rules": op10_quality_rules,
