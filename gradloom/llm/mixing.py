@@ -247,7 +247,8 @@ def taken_pieces(rows: DataFrame, p: Plan) -> DataFrame:
     first, end = F.greatest(F.col("block") * b, F.col("start")), F.least((F.col("block") + 1) * b, F.col("start") + F.col("size"))
     pieces = pieces.withColumn("at", first - F.col("start")).withColumn("words", end - first)
     drawn = slots(rows.sparkSession, p).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
-    return pieces.join(drawn, ["source_no", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    # The planner takes the slots for as few rows as there are shards; the hint keeps it from broadcasting them.
+    return pieces.join(drawn.hint("merge"), ["source_no", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
