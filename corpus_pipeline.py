@@ -1,7 +1,76 @@
-"""stub"""
-STAGES = []
+"""A corpus from documents to token ids: quality rules, exact and near deduplication, mixing, encoding.
+
+Every stage takes (spark, docs, sf_dir), works on all that the one before it kept, and is written as
+Parquet before the next reads it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gradloom.llm import bpe, exactdup, mixing, neardup, quality
+from gradloom.llm.common import prepare, shared_dir
+from gradloom.llm.queries import RANKS
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and a decision list learned from ``labels``."""
+    prepare(spark)
+    rules = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, rules)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    prepare(spark)
+    return exactdup.keep_first_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    prepare(spark)
+    return neardup.keep_one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stretches of documents, each source near its target, some more than once."""
+    prepare(spark)
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, and hashes of the ids and of the text that they decode to."""
+    prepare(spark)
+    return bpe.round_trip(docs, public_tokenizers.path(RANKS)).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("minhash_near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("byte_bpe", encode),
+]
+
+#: Learned rules, sampled similarity and drawn mixes aren't SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    folder = shared_dir(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -3,7 +3,7 @@
 Texts are equal when they are identical after every character of
 ``[\\x20\\x09-\\x0D]`` is deleted. One pass makes a digest per row. Misra-Gries
 summaries of the digests, one a task, name every digest that may hold more than
-1/(counters+1) of the rows; an exact count of just those confirms them, and
+2/(counters+1) of the rows; an exact count of just those confirms them, and
 their winners (at most ``counters`` rows) are broadcast so that hot rows are
 settled where they lie. All other digests are grouped and joined by an ordinary
 shuffle, in which no key is hot.
@@ -114,8 +114,8 @@ def _heavy(rows: DataFrame, counters: int) -> DataFrame:
         .mapInArrow(_summaries(counters), "digest string, n long")
         .groupBy("digest")
         .agg(F.sum("n").alias("n"))
-        # The summed lower bounds miss at most total/(counters+1) rows of a digest, so the
-        # largest `counters` hold every heavy one.
+        # The summed lower bounds miss at most total/(counters+1) rows of a digest, so every digest
+        # of more than twice that is among the largest `counters`.
         .orderBy(F.desc("n"), "digest")
         .limit(counters)
         .select("digest")
@@ -125,7 +125,8 @@ def _heavy(rows: DataFrame, counters: int) -> DataFrame:
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; rows that repeat an id and text come through once."""
-    result = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    kept = docs.join(result, docs[id_col].eqNullSafe(result["_kept_id"]), "left_semi")
-    return kept
+    """The documents that stay, with all their columns; rows that repeat both id and text come through once."""
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    rows = docs.withColumn("_own", F.sha2(normalised(text_or_empty(text_col)).cast("binary"), 256))
+    out = rows.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
+    return out.dropDuplicates([id_col, "_own"]).drop("_own")

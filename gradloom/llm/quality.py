@@ -316,3 +316,12 @@ def quality(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col
         base_failed().alias("base_failed"),
         (~base_failed() & verdict(rules)).alias("kept"),
     )
+
+
+def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """The documents that pass base rule and list, with all their columns, judged where they lie."""
+    names = docs.columns
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(names)], F.col(text_col).cast("string").alias("text"))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"] + [f"{k} long" for k in STATS]
+    judged = rows.mapInArrow(_stats_batches("text"), ", ".join(fields)).filter(~base_failed() & verdict(rules))
+    return judged.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(names)])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exactdup, mixing, packing, quality, tokencount, warc
+from . import bpe, chat, exactdup, mixing, neardup, packing, quality, tokencount, warc
 from .common import prepare
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -60,6 +60,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_format": op4_chat_format,
         "op5_warc": op5_warc,
         "op6_packing": op6_packing,
+        "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mixing": op9_mixing,
         "op10_quality_rules": op10_quality_rules,
