@@ -293,11 +293,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = ["id", "h", "source_no"]
     # Pieces of a row, as many as its blocks; identical rows keep theirs apart by rn.
     own = pieces.groupBy(*key, "bucket", "rn").agg(F.first("size").alias("size"), F.collect_list(F.struct("at", "words", "times")).alias("pieces"))
-    texts = docs.withColumns({"id": F.col(id_col), "h": F.xxhash64(text_col), "source_no": source_number(p, F.col(source_col).cast("string"))}).dropDuplicates(key)
+    inner = {"_mix_id": F.col(id_col), "_mix_h": F.xxhash64(text_col), "_mix_source": source_number(p, F.col(source_col).cast("string"))}
+    texts = docs.withColumns(inner).dropDuplicates(list(inner))
     names = docs.columns
-    both = own.select(*[F.col(k).alias(f"_{k}") for k in key], "pieces", F.col("size").alias("_size"))
-    joined = both.join(texts, (F.col("id").eqNullSafe(F.col("_id"))) & (F.col("h") == F.col("_h")) & (F.col("source_no") == F.col("_source_no")))
-    joined = joined.select(*[F.col(f"`{c}`") for c in names], F.col("_size"), F.col("pieces").alias("_pieces"))
+    both = own.select(*[F.col(k).alias(f"_own_{k}") for k in key], F.col("pieces").alias("_pieces"), F.col("size").alias("_size"))
+    same = F.col("_mix_id").eqNullSafe(F.col("_own_id")) & (F.col("_mix_h") == F.col("_own_h")) & (F.col("_mix_source") == F.col("_own_source_no"))
+    joined = both.join(texts, same).select(*[F.col(f"`{c}`") for c in names], "_size", "_pieces")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,8 +77,9 @@ def _line_counts(data: np.ndarray, offsets: np.ndarray, word_starts: np.ndarray)
     starts = np.concatenate([offsets[:-1], breaks + 1])
     order = np.lexsort((starts, text))
     text, starts = text[order], starts[order]
-    ends = np.append(starts[1:] - 1, 0)
-    last = np.append(text[1:] != text[:-1], True)
+    ends = np.append(starts[1:] - 1, 0)[: len(starts)]
+    last = np.ones(len(text), bool)
+    last[:-1] = text[1:] != text[:-1]
     ends[last] = offsets[1:][text[last]]
     worded = np.searchsorted(word_starts, ends) > np.searchsorted(word_starts, starts)
     text, starts, ends = text[worded], starts[worded], ends[worded]
