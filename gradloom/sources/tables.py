@@ -56,7 +56,7 @@ def text_table(spark: SparkSession, path: str, width: int) -> DataFrame:
     """
     sep = separator(path)
     lines = spark.createDataFrame(spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex().map(lambda r: (r[1] + 1, r[0])), "line long, text string")
-    full = lines.filter(F.trim("text") != "").withColumn("raw", F.transform(F.split("text", sep), F.trim))
+    full = lines.filter(F.trim("text") != "").withColumn("raw", F.transform(F.split("text", sep), lambda v: F.trim(v)))
     parsed = full.withColumn("values", F.expr("transform(raw, v -> try_cast(v AS float))"))
     first = parsed.orderBy("line").first()
     if first is None:
@@ -132,10 +132,9 @@ def subset(df: DataFrame, n: int) -> DataFrame:
 def history(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark records, one JSON object a line: malformed lines and keys without ``|`` are skipped, and of each
     key only the records of the newest file (last by name) stay."""
-    rows = spark.read.json(folder, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
-    if "_bad" in rows.columns:
-        rows = rows.cache().filter("_bad IS NULL").drop("_bad")
-    rows = rows.withColumn("_file", F.input_file_name()).filter(F.col("run_key").contains("|"))
+    rows = spark.read.json(folder, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad").withColumn("_file", F.col("_metadata.file_path"))
+    rows = rows.filter(F.col("run_key").contains("|"))
+    rows = rows.filter("_bad IS NULL").drop("_bad") if "_bad" in rows.columns else rows
     newest = rows.groupBy("run_key").agg(F.max("_file").alias("_file"))
     return rows.join(newest, ["run_key", "_file"]).drop("_file")
 
