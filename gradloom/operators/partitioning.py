@@ -6,19 +6,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Key ranges that global ranks are made of, at most.
+MOST_RANGES = 200
+
+
+def in_ranges(df: DataFrame, key: str, out: str = "_range") -> DataFrame:
+    """Adds the number of a key range, in order of a numeric key. Bounds are quantiles, fixed as literals, so that
+    every evaluation deals rows alike."""
+    n = min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = sorted(set(df.approxQuantile(key, [k / n for k in range(1, n)], 0.25 / n))) if n > 1 else []
+    if not bounds:
+        return df.withColumn(out, F.lit(0))
+    return df.withColumn(out, F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))))
+
+
+def numbered(df: DataFrame, key: str, out: str = "rank") -> DataFrame:
+    """Adds ranks from 0 over the whole table in order of a numeric, unique key.
+
+    Ranges are ranked side by side and shifted by the counts before them; no task sees more than a range.
+    """
+    rows = in_ranges(df, key)
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # At most MOST_RANGES rows.
+    before = F.broadcast(counts.select("_range", before.alias("_before")))
+    own = rows.withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy(key)))
+    return own.join(before, "_range").withColumn(out, F.col("_before") + F.col("_own") - 1).drop("_range", "_own", "_before")
+
+
+def _block(at: Column, n: int, rows: int) -> Column:
+    """The block of place ``at`` when ``rows`` places are cut into n blocks, the first ones longer."""
+    base, extra = divmod(rows, n)
+    short = F.lit(extra) + F.floor((at - F.lit(extra * (base + 1))) / F.lit(max(base, 1)))
+    return F.when(at < extra * (base + 1), F.floor(at / F.lit(base + 1))).otherwise(short).cast("int")
+
+
 def partitioned(df: DataFrame, workers: int, rows: int | None = None, key: str = "row_id") -> DataFrame:
     """Adds ``worker``: n contiguous blocks, the first rows % n of them one row longer.
 
     With row numbers from 0 (``rows`` given) a row's block is arithmetic and needs no shuffle; otherwise
-    rows are ranked over the whole table.
+    rows are ranked first.
     """
-    if rows is None:
-        return df.withColumn("worker", F.ntile(workers).over(Window.orderBy(key)) - 1)
-    base, extra = divmod(rows, workers)
-    at = F.col(key)
-    short = F.lit(extra) + F.floor((at - F.lit(extra * (base + 1))) / F.lit(max(base, 1)))
-    block = F.when(at < extra * (base + 1), F.floor(at / F.lit(base + 1))).otherwise(short)
-    return df.withColumn("worker", block.cast("int"))
+    if rows is not None:
+        return df.withColumn("worker", _block(F.col(key), workers, rows))
+    return numbered(df, key, "_rank").withColumn("worker", _block(F.col("_rank"), workers, df.count())).drop("_rank")
 
 
 def batched(df: DataFrame, size: int, order: str = "row_id") -> DataFrame:
@@ -56,7 +87,7 @@ def value_range(values: Column, start: int, n: int) -> Column:
 
 def chunks(df: DataFrame, n: int, order: str) -> DataFrame:
     """Adds ``chunk``: a vector in long form cut into n contiguous parts, the first ones longer."""
-    return df.withColumn("chunk", F.ntile(n).over(Window.orderBy(order)) - 1)
+    return numbered(df, order, "_rank").withColumn("chunk", _block(F.col("_rank"), n, df.count())).drop("_rank")
 
 
 def prefix_ranges(df: DataFrame, group: str, order: str, size: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .partitioning import in_ranges, numbered
+
 
 def gd_step(p: Column, g: Column, lr: float) -> Column:
     return p - F.lit(lr) * g
@@ -32,19 +34,19 @@ def mean_gradient(grads: DataFrame, workers: int) -> DataFrame:
 def exact_threshold(values: DataFrame, keep_ratio: float, value: str = "value") -> DataFrame:
     """One row: the k-th smallest size, k = floor(n * (1 - keep_ratio)), at least 2**-14.
 
-    Ranks come from a range-partitioned sort, so no task sees more than its range.
+    Sizes are counted, then summed up range by range; only the range that holds the k-th is sorted.
     """
     n = values.count()
     k = min(int(n * (1 - keep_ratio)), max(n - 1, 0))
-    size = values.select(F.abs(F.col(value)).alias("size"))
-    at = size.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
-    parts = at.repartitionByRange("size").withColumn("_part", F.spark_partition_id())
-    parts = parts.withColumn("_seen", F.sum("n").over(Window.partitionBy("_part").orderBy("size")))
-    totals = parts.groupBy("_part").agg(F.sum("n").alias("_n"))
-    # One row a partition.
-    before = totals.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    ranked = parts.join(F.broadcast(before), "_part")
-    return ranked.filter(F.col("_before") + F.col("_seen") > k).agg(F.greatest(F.min("size"), F.lit(2.0**-14)).alias("threshold"))
+    sizes = values.groupBy(F.abs(F.col(value)).alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = in_ranges(sizes, "size")
+    totals = sizes.groupBy("_range").agg(F.sum("n").alias("_n"))
+    w = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a range.
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).filter((F.col("_before") <= k) & (F.col("_before") + F.col("_n") > k))
+    own = sizes.join(F.broadcast(totals.select("_range", "_before")), "_range")
+    seen = F.sum("n").over(Window.partitionBy("_range").orderBy("size"))
+    return own.withColumn("_seen", F.col("_before") + seen).filter(F.col("_seen") > k).agg(F.greatest(F.min("size"), F.lit(2.0**-14)).alias("threshold"))
 
 
 def approximate_threshold(values: DataFrame, keep_ratio: float, value: str = "value") -> DataFrame:
@@ -54,11 +56,13 @@ def approximate_threshold(values: DataFrame, keep_ratio: float, value: str = "va
 def kept_runs(values: DataFrame, threshold: DataFrame, pos: str = "pos", value: str = "value") -> DataFrame:
     """(start, length, gap): stretches of entries of at least the threshold, with the gap before each.
 
-    A run breaks where positions jump; ``lag`` over positions marks that, a running sum numbers runs.
+    A run starts at a kept position whose predecessor isn't kept and ends at one whose successor isn't; the
+    k-th start belongs to the k-th end, and the gap lies behind the end before.
     """
-    kept = values.join(F.broadcast(threshold), F.abs(F.col(value)) >= F.col("threshold")).select(F.col(pos).alias("pos"))
-    w = Window.orderBy("pos")
-    runs = kept.withColumn("_new", F.coalesce(F.col("pos") - F.lag("pos").over(w) != 1, F.lit(True)).cast("int"))
-    runs = runs.withColumn("_run", F.sum("_new").over(w)).groupBy("_run").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("length"))
-    end = F.coalesce(F.lag(F.col("start") + F.col("length")).over(Window.orderBy("start")), F.lit(0))
-    return runs.select(F.col("start").cast("long"), F.col("length").cast("long"), (F.col("start") - end).cast("long").alias("gap"))
+    kept = values.join(F.broadcast(threshold), F.abs(F.col(value)) >= F.col("threshold")).select(F.col(pos).cast("long").alias("pos"))
+    beside = lambda by: kept.join(kept.select((F.col("pos") + by).alias("pos")), "pos", "left_anti")
+    starts = numbered(beside(1), "pos", "k").withColumnRenamed("pos", "start")
+    ends = numbered(beside(-1), "pos", "k").withColumnRenamed("pos", "last")
+    before = ends.select((F.col("k") + 1).alias("k"), F.col("last").alias("_before"))
+    runs = starts.join(ends, "k").join(before, "k", "left")
+    return runs.select("start", (F.col("last") - F.col("start") + 1).alias("length"), (F.col("start") - F.coalesce("_before", F.lit(-1)) - 1).alias("gap"))

@@ -6,10 +6,11 @@ from pathlib import PurePosixPath
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as c
+from ..operators.partitioning import numbered
 
 SCHEMA = "row_id long, x array<float>, y array<float>"
 
@@ -67,18 +68,7 @@ def text_table(spark: SparkSession, path: str, width: int) -> DataFrame:
         F.size("values") != width, F.raise_error(F.format_string("line %d: %d fields, %d are needed", F.col("line"), F.size("values"), F.lit(width)))
     )
     rows = parsed.filter(F.col("line") > header).select("line", F.coalesce(checked.cast("array<float>"), F.col("values")).alias("values"))
-    return _numbered(rows, "line").select("row_id", "values")
-
-
-def _numbered(df: DataFrame, key: str) -> DataFrame:
-    """row_id from 0 in the order of ``key``: range partitions are numbered apart and shifted by the counts before them."""
-    parts = df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
-    parts = parts.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
-    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # One row a partition: bounded by the cluster's parallelism, not by the data.
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = parts.join(F.broadcast(before.select("_part", "_before")), "_part")
-    return out.withColumn("row_id", F.col("_before") + F.col("_rank") - 1).drop("_part", "_rank", "_before")
+    return numbered(rows, "line", "row_id").select("row_id", "values")
 
 
 def local(spark: SparkSession, d: c.LocalDataset) -> DataFrame:
