@@ -59,7 +59,8 @@ def kept_runs(values: DataFrame, threshold: DataFrame, pos: str = "pos", value:
     A run starts at a kept position whose predecessor isn't kept and ends at one whose successor isn't; the
     k-th start belongs to the k-th end, and the gap lies behind the end before.
     """
-    kept = values.join(F.broadcast(threshold), F.abs(F.col(value)) >= F.col("threshold")).select(F.col(pos).cast("long").alias("pos"))
+    least = threshold.first()[0]
+    kept = values.filter(F.abs(F.col(value)) >= F.lit(least)).select(F.col(pos).cast("long").alias("pos"))
     beside = lambda by: kept.join(kept.select((F.col("pos") + by).alias("pos")), "pos", "left_anti")
     starts = numbered(beside(1), "pos", "k").withColumnRenamed("pos", "start")
     ends = numbered(beside(-1), "pos", "k").withColumnRenamed("pos", "last")
