@@ -184,9 +184,10 @@ def read_block(source) -> Block | None:
 
 
 def write(docs: DataFrame, path: str, folder: str | None = None, row: int = ROW_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and pack; returns (shard, block, place, id, n_tokens) of every document, already written beside the shards.
+    """Encode and pack; returns (file, block, place, id, n_tokens) of every document, already written beside the shards.
 
-    ``place`` is the document's number within its block.
+    ``place`` is the document's number within its block. A file's name is its task attempt's own and counts only
+    through the manifest, so that a repeated task, whose rows may come in another order, can't mix with the first.
     """
     folder = folder or f"{shared_dir(docs.sparkSession)}/packed"
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
@@ -195,19 +196,19 @@ def write(docs: DataFrame, path: str, folder: str | None = None, row: int = ROW_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
         fs.create_dir(root, recursive=True)
-        shard, tok = TaskContext.get().partitionId(), bpe.tokenizer(path)
+        tok = bpe.tokenizer(path)
         dtype = "<u2" if len(tok.sizes) <= 1 << 16 else "<u4"
-        name, draft = f"{root}/shard-{shard:06d}.bin", f"{root}/.shard-{shard:06d}-{uuid.uuid4().hex}"
+        name = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
         block, flats, sizes, ids, held = 0, [], [], [], 0
-        with fs.open_output_stream(draft) as out:
+        with fs.open_output_stream(f"{root}/{name}") as out:
 
             def flush() -> pa.RecordBatch:
                 counts = np.concatenate(sizes)
                 body, _ = to_bytes(np.concatenate(flats), np.concatenate([[0], np.cumsum(counts)]), row, dtype)
                 out.write(body)
                 n = len(counts)
-                columns = [np.full(n, shard, np.int32), np.full(n, block, np.int32), np.arange(n, dtype=np.int32)]
-                return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.concat_arrays(ids), pa.array(counts)], names=["shard", "block", "place", "id", "n_tokens"])
+                columns = [pa.array([name] * n, pa.string()), pa.array(np.full(n, block, np.int32)), pa.array(np.arange(n, dtype=np.int32))]
+                return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays(ids), pa.array(counts)], names=["file", "block", "place", "id", "n_tokens"])
 
             for batch in batches:
                 for part in slices(batch, text_col):
@@ -221,39 +222,38 @@ def write(docs: DataFrame, path: str, folder: str | None = None, row: int = ROW_
                         block, flats, sizes, ids, held = block + 1, [], [], [], 0
             if sizes:
                 yield flush()
-        fs.move(draft, name)
 
-    manifest = rows.mapInArrow(run, f"shard int, block int, place int, id {kind}, n_tokens long")
+    manifest = rows.mapInArrow(run, f"file string, block int, place int, id {kind}, n_tokens long")
     return stored(manifest.withColumn("folder", F.lit(folder)), f"{folder}-manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """Read the shards back: (shard, block, place, n_tokens, n_segments, ids_sha256) of every document, its ids put together
+    """Read the shards back: (file, block, place, n_tokens, n_segments, ids_sha256) of every document, its ids put together
     again from the matrices; the hash is over little-endian 32-bit ids."""
-    shards = manifest.select("folder", "shard").distinct()
+    shards = manifest.select("folder", "file").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for folder, shard in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for folder, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, root = _filesystem(folder)
-                with fs.open_input_file(f"{root}/shard-{shard:06d}.bin") as source:
+                with fs.open_input_file(f"{root}/{name}") as source:
                     k = 0
                     while (block := read_block(source)) is not None:
                         flat, offsets = block.document_ids()
                         body, n = flat.astype("<u4").tobytes(), block.documents
                         hashes = [hashlib.sha256(body[4 * a : 4 * b]).hexdigest() for a, b in zip(offsets.tolist(), offsets[1:].tolist())]  # noqa: B905
                         parts = np.bincount(block.segments[:, 0], minlength=n)
-                        columns = [np.full(n, shard, np.int32), np.full(n, k, np.int32), np.arange(n, dtype=np.int32), np.diff(offsets), parts.astype(np.int64)]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(hashes)], names=["shard", "block", "place", "n_tokens", "n_segments", "ids_sha256"])
+                        columns = [np.full(n, k, np.int32), np.arange(n, dtype=np.int32), np.diff(offsets), parts.astype(np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), *map(pa.array, columns), pa.array(hashes)], names=["file", "block", "place", "n_tokens", "n_segments", "ids_sha256"])
                         k += 1
 
-    return shards.mapInArrow(run, "shard int, block int, place int, n_tokens long, n_segments long, ids_sha256 string")
+    return shards.mapInArrow(run, "file string, block int, place int, n_tokens long, n_segments long, ids_sha256 string")
 
 
 def round_trip(docs: DataFrame, path: str, row: int = ROW_TOKENS, id_col: str = "doc_id") -> DataFrame:
-    """Pack, write, read back; one row per document: id, n_tokens, n_segments, ids_sha256, shard, block, place."""
+    """Pack, write, read back; one row per document: id, n_tokens, n_segments, ids_sha256, file, block, place."""
     manifest = write(docs, path, row=row, id_col=id_col)
     found = read(manifest).drop("n_tokens")
     # The planner takes the documents read back for as few rows as there are shards; the hint keeps it from broadcasting them.
-    out = manifest.drop("folder").join(found.hint("merge"), ["shard", "block", "place"])
-    return out.select(F.col("id").alias(id_col), "n_tokens", "n_segments", "ids_sha256", "shard", "block", "place")
+    out = manifest.drop("folder").join(found.hint("merge"), ["file", "block", "place"])
+    return out.select(F.col("id").alias(id_col), "n_tokens", "n_segments", "ids_sha256", "file", "block", "place")

@@ -66,7 +66,7 @@ def test_blocks_come_back(lengths):
 
 def test_rows_come_back(documents):
     library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load(PATH), special_tokens={})
-    docs = documents(AWKWARD, ids=[0, 1, 2, 3, 4, 5, 6, None, None], shard="x", n_tokens="y")
+    docs = documents(AWKWARD, ids=[0, 1, 2, 3, 4, 5, 6, None, None], file="x", n_tokens="y")
     got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_segments"], r["ids_sha256"]) for r in packing.round_trip(docs, PATH, row=64).collect())
     ids = [library.encode_ordinary(t or "") for t in AWKWARD]
     keys = [0, 1, 2, 3, 4, 5, 6, None, None]
