@@ -26,9 +26,13 @@ class Kernel:
         raise NotImplementedError
 
     def backward(self, params: np.ndarray, grad: np.ndarray, delta: np.ndarray) -> np.ndarray:
-        """The delta of the input; adds to nothing, writes this layer's gradient into ``grad``."""
+        """The delta of the input; writes this layer's gradient into ``grad``."""
         raise NotImplementedError
 
+    def gradients(self, params: np.ndarray, grad: np.ndarray, delta: np.ndarray) -> None:
+        """Like ``backward``, where the delta of the input isn't wanted."""
+        self.backward(params, grad, delta)
+
 
 @dataclass
 class DenseKernel(Kernel):
@@ -48,11 +52,14 @@ class DenseKernel(Kernel):
         self.x = ranked(x, 2)
         return x @ weights + bias
 
-    def backward(self, params, grad, delta):
-        weights, _ = self._split(params)
+    def gradients(self, params, grad, delta):
         to_weights, to_bias = self._split(grad)
         to_weights[...] = self.x.T @ delta
         to_bias[...] = delta.sum(axis=0)
+
+    def backward(self, params, grad, delta):
+        self.gradients(params, grad, delta)
+        weights, _ = self._split(params)
         return delta @ weights.T
 
 
@@ -60,9 +67,14 @@ def _padded(x: np.ndarray, p: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, 0), (p, p), (p, p))) if p else x
 
 
-def _windows(x: np.ndarray, k: int, stride: int) -> np.ndarray:
-    """(batch, channels, out height, out width, k, k); rows and columns that don't fill a window are left out."""
-    return np.lib.stride_tricks.sliding_window_view(x, (k, k), axis=(2, 3))[:, :, ::stride, ::stride]
+def _places(k: int, stride: int, out: tuple[int, int]) -> list[tuple[slice, slice]]:
+    """For each cell of a k x k window, where it lies in the padded image for all window positions at once."""
+    return [(slice(i, i + stride * out[0], stride), slice(j, j + stride * out[1], stride)) for i in range(k) for j in range(k)]
+
+
+def _outputs(shape: tuple[int, ...], k: int, stride: int, padding: int) -> tuple[int, int]:
+    """Window positions; rows and columns that don't fill a window are left out."""
+    return (shape[2] + 2 * padding - k) // stride + 1, (shape[3] + 2 * padding - k) // stride + 1
 
 
 @dataclass
@@ -79,30 +91,36 @@ class ConvKernel(Kernel):
 
     def _split(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.size - self.filters
-        return flat[:n].reshape(self.filters, self.channels, self.k, self.k), flat[n:]
+        return flat[:n].reshape(self.filters, -1), flat[n:]
 
     def forward(self, params, x):
         kernels, bias = self._split(params)
         if ranked(x, 4).shape[1] != self.channels:
             raise ShapeError(f"{self.channels} channels are needed, got {x.shape[1]}")
-        self.shape = x.shape
-        self.seen = _windows(_padded(x, self.padding), self.k, self.stride)
-        return np.einsum("bchwij,fcij->bfhw", self.seen, kernels, optimize=True) + bias[:, None, None]
+        self.shape, self.out = x.shape, _outputs(x.shape, self.k, self.stride, self.padding)
+        image = _padded(x, self.padding)
+        cells = np.empty((len(x), self.channels, self.k * self.k, *self.out), x.dtype)
+        for n, (rows, cols) in enumerate(_places(self.k, self.stride, self.out)):
+            cells[:, :, n] = image[:, :, rows, cols]
+        self.cells = cells.reshape(len(x), kernels.shape[1], -1)
+        return (kernels @ self.cells + bias[:, None]).reshape(len(x), self.filters, *self.out)
+
+    def gradients(self, params, grad, delta):
+        to_kernels, to_bias = self._split(grad)
+        flat = delta.reshape(len(delta), self.filters, -1)
+        to_kernels[...] = (flat @ self.cells.transpose(0, 2, 1)).sum(axis=0)
+        to_bias[...] = flat.sum(axis=(0, 2))
 
     def backward(self, params, grad, delta):
+        self.gradients(params, grad, delta)
         kernels, _ = self._split(params)
-        to_kernels, to_bias = self._split(grad)
-        to_kernels[...] = np.einsum("bfhw,bchwij->fcij", delta, self.seen, optimize=True)
-        to_bias[...] = delta.sum(axis=(0, 2, 3))
         b, c, h, w = self.shape
-        p, s = self.padding, self.stride
+        p = self.padding
         # Scatter over the padded image, then crop: right for any padding.
         out = np.zeros((b, c, h + 2 * p, w + 2 * p), delta.dtype)
-        spread = np.einsum("bfhw,fcij->bchwij", delta, kernels, optimize=True)
-        oh, ow = delta.shape[2:]
-        for i in range(self.k):
-            for j in range(self.k):
-                out[:, :, i : i + s * oh : s, j : j + s * ow : s] += spread[..., i, j]
+        spread = (kernels.T @ delta.reshape(b, self.filters, -1)).reshape(b, c, self.k * self.k, *self.out)
+        for n, (rows, cols) in enumerate(_places(self.k, self.stride, self.out)):
+            out[:, :, rows, cols] += spread[:, :, n]
         return out[:, :, p : p + h, p : p + w]
 
 
@@ -113,19 +131,25 @@ class PoolKernel(Kernel):
     padding: int = 0
 
     def forward(self, params, x):
-        self.shape = ranked(x, 4).shape
-        seen = _windows(_padded(x, self.padding), self.k, self.stride)
-        flat = seen.reshape(*seen.shape[:4], -1)
-        # The last of equal maxima wins.
-        self.best = flat.shape[-1] - 1 - np.argmax(flat[..., ::-1], axis=-1)
-        return np.take_along_axis(flat, self.best[..., None], axis=-1)[..., 0]
+        self.shape, self.out = ranked(x, 4).shape, _outputs(x.shape, self.k, self.stride, self.padding)
+        image, best = _padded(x, self.padding), None
+        for n, (rows, cols) in enumerate(_places(self.k, self.stride, self.out)):
+            cell = image[:, :, rows, cols]
+            if best is None:
+                best, self.best = cell.copy(), np.zeros(cell.shape, np.int16)
+                continue
+            # The last of equal maxima wins.
+            up = cell >= best
+            np.copyto(best, cell, where=up)
+            np.copyto(self.best, n, where=up)
+        return best
 
     def backward(self, params, grad, delta):
         b, c, h, w = self.shape
         p = self.padding
         out = np.zeros((b, c, h + 2 * p, w + 2 * p), delta.dtype)
-        bi, ci, oi, oj = np.indices(delta.shape)
-        np.add.at(out, (bi, ci, oi * self.stride + self.best // self.k, oj * self.stride + self.best % self.k), delta)
+        for n, (rows, cols) in enumerate(_places(self.k, self.stride, self.out)):
+            out[:, :, rows, cols] += np.where(self.best == n, delta, 0)
         return out[:, :, p : p + h, p : p + w]
 
 
@@ -232,7 +256,12 @@ class Network:
             x = layer.forward(params[a:b], x)
         return x
 
-    def backward(self, params: np.ndarray, grad: np.ndarray, delta: np.ndarray) -> np.ndarray:
-        for layer, (a, b) in zip(reversed(self.layers), reversed(self.ranges), strict=True):
-            delta = layer.backward(params[a:b], grad[a:b], delta)
-        return delta
+    def backward(self, params: np.ndarray, grad: np.ndarray, delta: np.ndarray) -> None:
+        """All gradients, from the delta of the output. Nothing before the first layer with parameters is needed."""
+        first = next((k for k, layer in enumerate(self.layers) if layer.size), len(self.layers))
+        for k in range(len(self.layers) - 1, first - 1, -1):
+            a, b = self.ranges[k]
+            if k == first:
+                self.layers[k].gradients(params[a:b], grad[a:b], delta)
+            else:
+                delta = self.layers[k].backward(params[a:b], grad[a:b], delta)
