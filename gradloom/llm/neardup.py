@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +51,8 @@ SAMPLES = BANDS * ROWS
 SMOOTH, RARE = 0.2, 0.005
 #: Hash functions and counters of the sketch, and counters that travel together.
 SKETCH_ROWS, SKETCH_WIDTH, CHUNK = 3, 1 << 16, 1024
+#: Tasks whose sketches are added first.
+TEAM = 64
 #: Nodes of one block in the comparison of mixed buckets.
 BLOCK = 768
 
@@ -96,22 +98,29 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = counts.reshape(-1, CHUNK)
     used = np.flatnonzero(parts.any(axis=1))
     yield pa.RecordBatch.from_pydict(
-        {"part": [-1, *used.tolist()], "body": [zlib.compress(np.array([docs]).tobytes(), 1), *[zlib.compress(parts[k].tobytes(), 1) for k in used]]},
-        schema=pa.schema([("part", pa.int32()), ("body", pa.binary())]),
+        {
+            "part": [-1, *used.tolist()],
+            "team": [TaskContext.get().partitionId() // TEAM] * (len(used) + 1),
+            "body": [zlib.compress(np.array([docs]).tobytes(), 1), *[zlib.compress(parts[k].tobytes(), 1) for k in used]],
+        },
+        schema=pa.schema([("part", pa.int32()), ("team", pa.int32()), ("body", pa.binary())]),
     )
 
 
 def _summed(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(zlib.decompress(b.as_py()), np.int64) for b in table.column("body"))
-    return pa.table({"part": table.column("part").slice(0, 1), "body": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"part": table.column("part").slice(0, 1), "team": table.column("team").slice(0, 1), "body": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
 def document_shares(docs: DataFrame) -> np.ndarray:
     """Corrected shares of documents by sketch cell. The driver gets one sketch, whose size is fixed."""
-    parts = docs.select(text_or_empty().alias("text")).mapInArrow(_sketches, "part int, body binary").groupBy("part").applyInArrow(_summed, "part int, body binary")
+    kind = "part int, team int, body binary"
+    parts = docs.select(text_or_empty().alias("text")).mapInArrow(_sketches, kind)
+    # First by teams of tasks, then over teams, so that no group grows with the number of tasks alone.
+    parts = parts.groupBy("part", "team").applyInArrow(_summed, kind).groupBy("part").applyInArrow(_summed, kind)
     counts, n = np.zeros((SKETCH_ROWS * SKETCH_WIDTH // CHUNK, CHUNK)), 0
     for row in parts.collect():
-        values = np.frombuffer(row["body"], np.int64)
+        values = np.frombuffer(zlib.decompress(row["body"]), np.int64)
         if row["part"] < 0:
             n = int(values[0])
         else:
