@@ -65,7 +65,7 @@ def escaped_role(role: Column) -> Column:
 
 
 def unescaped_role(role: Column) -> Column:
-    # A doubled backslash is set aside as NUL-delimited text can't be trusted to be absent, so split on it instead.
+    # Cut at doubled backslashes first, so that what follows one isn't read as a line break.
     parts = F.split(unescaped(role), r"\\\\")
     return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
