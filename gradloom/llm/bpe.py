@@ -33,10 +33,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, distinct, raw_bytes, slices
+from .common import Memory, distinct, raw_bytes, release_memory, slices
 
-#: Distinct pre-tokens in each of the two generations that a worker remembers.
-CACHE = 300_000
+#: Distinct pre-tokens in each of the two generations that a worker remembers, about 200 bytes each.
+CACHE = 150_000
 
 # Classes of code points.
 _LETTER, _NUMBER, _OTHER, _QUOTE, _BLANK, _WHITE = range(6)
@@ -242,7 +242,8 @@ def _tokenizer(path: str) -> Tokenizer:
 
 
 def tokenizer(path: str) -> Tokenizer:
-    """The worker's tokenizer for a rank file; ``files:NAME`` is one that was added with SparkContext.addFile."""
+    """The worker's tokenizer for a rank file, fetched once a task; ``files:NAME`` is one that was added with SparkContext.addFile."""
+    release_memory()
     return _tokenizer(SparkFiles.get(path[6:]) if path.startswith("files:") else path)
 
 

@@ -3,6 +3,9 @@ batches, vectorised word splitting and hashing, distributed prefix sums."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -30,7 +33,7 @@ _POWERS = {False: np.ones(1, np.uint64), True: np.ones(1, np.uint64)}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches and let local Python workers import this package wherever the driver was started.
+    """Bound Arrow batches and workers' memory, and let local Python workers import this package wherever the driver was started.
 
     On a cluster the package is shipped with ``--py-files``; adding the path is harmless there.
     """
@@ -41,6 +44,9 @@ def prepare(spark: SparkSession) -> None:
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    # Freed memory goes back to the system instead of staying in pools of its own.
+    env.setdefault("MALLOC_ARENA_MAX", "2")
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,6 +78,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_memory() -> None:
+    """Give memory that earlier tasks of this worker have freed back to the system, where its allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
