@@ -45,8 +45,8 @@ from .common import shared_dir, stored
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of an archive that one reading task owns.
 SPLIT_BYTES = 16 << 20
-#: Bytes fetched at a time, and the most that a record's WARC headers may take.
-BLOCK, HEADER_BYTES = 1 << 20, 64 << 10
+#: Bytes fetched at a time.
+BLOCK = 1 << 20
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
 DATE = "2020-01-01T00:00:00Z"
@@ -154,18 +154,19 @@ class Reader:
         return None
 
     def valid(self, start: int) -> bool:
-        """Whether the member decodes to a version line and whole headers."""
+        """Whether the member decodes to a version line and whole headers, however long these are."""
         unpack = zlib.decompressobj(31)
-        head, at = b"", start
+        head, at = bytearray(), start
         try:
-            while len(head) < HEADER_BYTES and not unpack.eof and at < self.size:
+            while not unpack.eof and at < self.size:
                 chunk = self.at(at, 4096)
                 at += len(chunk)
-                head += unpack.decompress(chunk, HEADER_BYTES - len(head))
+                seen = max(len(head) - 3, 0)
+                head += unpack.decompress(chunk)
                 if not head.startswith(b"WARC/"[: len(head)]):
                     return False
-                if b"\r\n\r\n" in head:
-                    return b"\r\nContent-Length:" in head and b"\r\nWARC-Type:" in head
+                if (end := head.find(b"\r\n\r\n", seen)) >= 0:
+                    return head.find(b"\r\nContent-Length:", 0, end) >= 0 and head.find(b"\r\nWARC-Type:", 0, end) >= 0
         except zlib.error:
             pass
         return False

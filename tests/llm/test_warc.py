@@ -77,3 +77,9 @@ def test_records_read_as_the_format_says():
     headers, http, payload = warc.parsed(gzip.GzipFile(fileobj=io.BytesIO(warc.record(9, "http://q", b"body", "ABC", 4))).read())
     assert headers["warc-type"] == "response" and headers["warc-payload-digest"] == "sha1:ABC"
     assert http["content-length"] == "4" and payload == b"body"
+
+
+def test_long_headers_are_read(spark):
+    rows = [(1, "http://a", "<p>x"), (2, "data:," + "".join(f"{k:07d}" for k in range(14_300)), "<p>y"), (3, "data:," + "\x01" * 40_000, "<p>x"), (4, "http://b", "<p>z")]
+    got = warc.round_trip(pages(spark, rows).coalesce(1)).collect()
+    assert sorted(map(tuple, got), key=str) == expected(rows)
