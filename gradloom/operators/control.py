@@ -15,8 +15,8 @@ STOP_AFTER, SWITCH_WINDOW, SWITCH_BELOW = 3, 6, 0.01
 
 @dataclass
 class ConvergenceTracker:
-    """Fires when ``window`` changes in a row stay within the tolerance. A change beyond it starts the count
-    anew from itself."""
+    """Fires when ``window`` losses in a row stay within the tolerance of the one before. The first loss counts,
+    and one that breaks the count is the first of the next."""
 
     tolerance: float
     window: int = STOP_AFTER
@@ -24,10 +24,9 @@ class ConvergenceTracker:
     quiet: int = 0
 
     def add(self, loss: float) -> bool:
-        if self.last is not None:
-            if abs(loss - self.last) > self.tolerance:
-                self.quiet = 0
-            self.quiet += 1
+        if self.last is not None and abs(loss - self.last) > self.tolerance:
+            self.quiet = 0
+        self.quiet += 1
         self.last = loss
         return self.quiet >= self.window
 
@@ -49,16 +48,13 @@ class SwitchTracker:
 
 
 def quiet_counts(losses: DataFrame, tolerance: float, order: str = "epoch", loss: str = "loss", by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``quiet``: how many changes in a row count as quiet up to each epoch."""
+    """Adds ``quiet``: how many losses in a row, up to each epoch, are within the tolerance of the one before; the first
+    loss of a row of them counts too. A group is one run, whose epochs a task holds."""
     w = Window.partitionBy(*by).orderBy(order)
-    d = F.abs(F.col(loss) - F.lag(loss).over(w))
-    rows = losses.withColumn("_d", d).withColumn("_island", F.sum(F.coalesce((F.col("_d") > tolerance).cast("int"), F.lit(1))).over(w))
-    first = F.col("_d").isNull()
-    # The first loss has no change; later islands count the change that opened them.
+    broken = F.abs(F.col(loss) - F.lag(loss).over(w)) > tolerance
+    rows = losses.withColumn("_broken", F.coalesce(broken.cast("int"), F.lit(0))).withColumn("_island", F.sum("_broken").over(w))
     count = F.row_number().over(Window.partitionBy(*by, "_island").orderBy(order))
-    opening = F.min(order).over(Window.partitionBy(*by))
-    same = F.min(order).over(Window.partitionBy(*by, "_island")) == opening
-    return rows.withColumn("quiet", F.when(first, 0).otherwise(count - same.cast("int")).cast("long")).drop("_d", "_island")
+    return rows.withColumn("quiet", count.cast("long")).drop("_broken", "_island")
 
 
 def convergence_epoch(losses: DataFrame, tolerance: float, window: int = STOP_AFTER, order: str = "epoch", loss: str = "loss", by: tuple[str, ...] = ()) -> DataFrame:

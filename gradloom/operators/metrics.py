@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The scalar measures that repeats are averaged over.
@@ -29,18 +29,27 @@ def run_metrics(runs: DataFrame) -> DataFrame:
     )
 
 
-def repeats(runs: DataFrame, key: str = "run_key", scalars: tuple[str, ...] = SCALARS) -> DataFrame:
+def repeats(runs: DataFrame, key: str = "run_key", scalars: tuple[str, ...] = SCALARS, order: str = "repeat") -> DataFrame:
     """One row a key over its runs without an error: mean and population deviation of each measure, number of
-    runs, whether any switched, and the loss history of the run whose final loss is nearest the mean."""
-    good = runs.filter(F.col("error").isNull())
+    runs, whether any switched, and the loss history of the run whose final loss is nearest the mean.
+
+    A key whose runs all failed has the measures and the error of its first run, and no number of runs.
+    """
     own = [s for s in scalars if s in runs.columns]
-    aggs = [f for s in own for f in (F.avg(s).alias(s), F.coalesce(F.stddev_pop(s), F.when(F.count(s) > 0, 0.0)).alias(f"{s}_std"))]
-    aggs.append(F.count(F.lit(1)).alias("repeats"))
+    good = F.col("error").isNull()
+    first = lambda c: F.min_by(c, order) if order in runs.columns else F.first(c)
+    failed = F.count_if(good) == 0
+    aggs = []
+    for s in own:
+        value = F.when(good, F.col(s))
+        aggs.append(F.when(failed, first(F.col(s).cast("double"))).otherwise(F.avg(value)).alias(s))
+        aggs.append(F.coalesce(F.stddev_pop(value), F.when(F.count(value) > 0, 0.0)).alias(f"{s}_std"))
+    aggs += [F.when(~failed, F.count_if(good)).alias("repeats"), F.when(failed, first(F.col("error"))).alias("error")]
     if "switched" in runs.columns:
-        aggs.append(F.bool_or("switched").alias("switched"))
-    out = good.groupBy(key).agg(*aggs)
+        aggs.append(F.when(failed, first(F.col("switched"))).otherwise(F.bool_or(F.when(good, F.col("switched")))).alias("switched"))
+    out = runs.groupBy(key).agg(*aggs)
     if "loss_history" in runs.columns and "final_loss" in own:
-        near = good.join(out.select(key, F.col("final_loss").alias("_mean")), key).filter(F.col("final_loss").isNotNull())
+        near = runs.filter(good & F.col("final_loss").isNotNull()).join(out.select(key, F.col("final_loss").alias("_mean")), key)
         near = near.groupBy(key).agg(F.min_by("loss_history", F.abs(F.col("final_loss") - F.col("_mean"))).alias("loss_history"))
         out = out.join(near, key, "left")
     return out
@@ -53,10 +62,16 @@ def newest(records: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def interval_ema(times: DataFrame, by: str, order: str, interval: str, weight: float = EMA_WEIGHT, start: float = EMA_START) -> DataFrame:
-    """(by, ema): an exponential moving average, folded in order over each worker's reports of a run."""
-    seq = F.transform(F.array_sort(F.collect_list(F.struct(order, interval))), lambda s: s[interval].cast("double"))
-    fold: Column = F.aggregate(seq, F.lit(float(start)), lambda a, x: a * F.lit(1 - weight) + x * F.lit(weight))
-    return times.groupBy(by).agg(fold.alias("ema"))
+    """(by, ema): an exponential moving average over each worker's reports in order.
+
+    The report with k others after it weighs ``weight * (1 - weight) ** k``, so that the average is a sum: no worker's
+    reports are gathered in one value. Weights below the smallest float count as nothing, as in the fold.
+    """
+    after = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order))) - 1
+    terms = times.select(by, after.alias("_after"), F.col(interval).cast("double").alias("_x"))
+    left = F.lit(1 - weight)
+    ema = F.sum(F.col("_x") * F.lit(weight) * F.pow(left, F.col("_after"))) + F.lit(float(start)) * F.pow(left, F.count(F.lit(1)))
+    return terms.groupBy(by).agg(ema.alias("ema"))
 
 
 def ping_stats(pings: DataFrame) -> DataFrame:

@@ -59,8 +59,8 @@ def batched(df: DataFrame, size: int, order: str = "row_id") -> DataFrame:
 
 
 def shuffled(df: DataFrame, seed: int, epoch: int) -> DataFrame:
-    """Adds ``position``: a row order within each worker that follows from seed and epoch."""
-    w = Window.partitionBy("worker").orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), "row_id"), "row_id")
+    """Adds ``position``: a row order within each worker that follows from seed and epoch, by a digest that any engine has."""
+    w = Window.partitionBy("worker").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.lit(epoch), "row_id").cast("binary")), "row_id")
     return df.withColumn("position", (F.row_number().over(w) - 1).cast("long"))
 
 

@@ -33,11 +33,11 @@ _TRACE = "t AS (SELECT user_id % 5 AS worker, date_diff('day', DATE '1970-01-01'
 _HOUR = "h AS (SELECT event_type AS run, event_id // 200 AS epoch, avg(value) AS loss FROM events GROUP BY 1, 2)"
 _QUIET = f"""{_HOUR}, d AS (SELECT *, abs(loss - lag(loss) OVER (PARTITION BY run ORDER BY epoch)) AS d FROM h),
     k AS (SELECT *, sum(CASE WHEN d > 5.0 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY epoch) AS island FROM d),
-    c AS (SELECT run, epoch, count(d) OVER (PARTITION BY run, island ORDER BY epoch) AS quiet FROM k)"""
+    c AS (SELECT run, epoch, row_number() OVER (PARTITION BY run, island ORDER BY epoch) AS quiet FROM k)"""
 _PING = """pg AS (SELECT least(l_suppkey % 6, l_partkey % 6) AS src, greatest(l_suppkey % 6, l_partkey % 6) AS dst, l_extendedprice / 99991.0::DOUBLE + l_tax AS rtt
     FROM lineitem WHERE l_suppkey % 6 <> l_partkey % 6)"""
 _RUN = """r AS (SELECT 's|' || (o_custkey % 50) AS run_key, o_orderkey AS id, o_totalprice / 99991.0::DOUBLE AS final_loss,
-    CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice / 7.0::DOUBLE END AS train_seconds, o_orderkey % 13 = 0 AS switched, o_orderkey % 11 = 0 AS failed FROM orders)"""
+    CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice / 7.0::DOUBLE END AS train_seconds, o_orderkey % 13 = 0 AS switched, o_orderkey % 11 = 0 OR o_custkey % 50 = 7 AS failed, o_totalprice / 13.0::DOUBLE AS l0 FROM orders)"""
 _PAR = "o AS (SELECT o_orderkey AS dim, o_totalprice / 99991.0::DOUBLE AS p, o_custkey / 7.0::DOUBLE AS g FROM orders)"
 _GRAD = """g AS (SELECT event_id AS pos, value - 50.0::DOUBLE AS value FROM events),
     n AS (SELECT count(*) AS n FROM g), s AS (SELECT abs(value) AS a, row_number() OVER (ORDER BY abs(value)) AS k FROM g),
@@ -56,7 +56,7 @@ ORACLE = {
         SELECT CAST(CASE worker WHEN 0 THEN share WHEN 3 THEN share WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 3 ELSE 4 END AS BIGINT) AS worker,
             count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids FROM s GROUP BY 1""",
     "vector_chunks": "SELECT ntile - 1 AS chunk, min(dim) AS first, count(*) AS n FROM (SELECT dim, ntile(7) OVER (ORDER BY dim) AS ntile FROM range(640) t(dim)) GROUP BY 1",
-    "shuffled_order": f"WITH {_PART} SELECT worker, count(*) AS positions, count(*) - 1 AS last, CAST(sum(row_id) AS BIGINT) AS ids FROM part GROUP BY worker",
+    "shuffled_order": f"WITH {_PART} SELECT row_id, worker, row_number() OVER (PARTITION BY worker ORDER BY md5('42:1:' || row_id), row_id) - 1 AS position FROM part",
     "one_hot_labels": "SELECT vec_id AS row_id, k, CASE WHEN k = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM embeddings, range(10) t(k)",
     "append_rows": """SELECT vec_id AS row_id, round(CAST(embedding[1] AS DOUBLE), 6) AS x0 FROM embeddings
         UNION ALL SELECT vec_id + (SELECT max(vec_id) + 1 FROM embeddings), round(CAST(embedding[1] AS DOUBLE), 6) FROM embeddings WHERE vec_id < 100""",
@@ -94,13 +94,19 @@ ORACLE = {
         m AS (SELECT *, avg(rel) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m FROM d)
         SELECT run, min(epoch) AS epoch FROM m WHERE n >= 6 AND m <= 0.2 GROUP BY run""",
     "loss_admission": "SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE event_id % 7 > 2 AND (event_id % 7 = 3 OR value = 0 OR abs(value) >= 2.2250738585072014e-308)",
-    "loss_format": "SELECT true AS shown, count(*) AS n FROM events",
+    "loss_format": """WITH v AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value / 99991000.0::DOUBLE WHEN event_id % 3 = 1 THEN -value / 7.0::DOUBLE ELSE value END AS x FROM events)
+        SELECT event_id, CASE WHEN abs(x) < 1e-4 THEN printf('%.3e', x) ELSE printf('%.8f', x) END AS shown FROM v""",
     "worker_state": f"""SELECT user_id % 8 AS worker, count(*) FILTER (event_id % 97 <> 0) AS epochs_done, {_r('arg_max(value, event_id) FILTER (event_id % 97 <> 0)')} AS last_loss,
         bool_or(event_id % 97 = 0) AS became_server FROM events GROUP BY 1""",
-    "event_union": """SELECT CASE event_id % 3 WHEN 0 THEN 'loss' ELSE 'stop' END AS kind, count(*) AS n, count(*) FILTER (event_id % 3 = 0 AND value IS NOT NULL) AS with_loss
-        FROM events WHERE event_id % 3 < 2 GROUP BY 1""",
-    "repeats_agg": f"""WITH {_RUN} SELECT run_key, count(*) AS repeats, bool_or(switched) AS switched, {_r('avg(train_seconds)', 4)} AS train_seconds, {_r('stddev_pop(train_seconds)', 4)} AS train_seconds_std,
-        {_r('avg(final_loss)', 4)} AS final_loss, {_r('stddev_pop(final_loss)', 4)} AS final_loss_std FROM r WHERE NOT failed GROUP BY run_key""",
+    "event_union": """SELECT event_id AS seq, CASE event_id % 3 WHEN 0 THEN 'loss' WHEN 1 THEN 'stop' ELSE 'push' END AS kind, CASE event_id % 3 WHEN 0 THEN value END AS loss,
+        CASE event_id % 3 WHEN 2 THEN user_id END AS worker FROM events""",
+    "repeats_agg": f"""WITH {_RUN}, m AS (SELECT run_key, count(*) AS repeats, bool_or(switched) AS switched, avg(train_seconds) AS t, stddev_pop(train_seconds) AS ts,
+            avg(final_loss) AS l, stddev_pop(final_loss) AS ls FROM r WHERE NOT failed GROUP BY run_key),
+        near AS (SELECT run_key, arg_min(l0, abs(final_loss - l)) AS l0 FROM r JOIN m USING (run_key) WHERE NOT failed GROUP BY run_key)
+        SELECT run_key, repeats, switched, NULL AS error, {_r('l0', 4)} AS first_loss, {_r('t', 4)} AS train_seconds, {_r('ts', 4)} AS train_seconds_std, {_r('l', 4)} AS final_loss, {_r('ls', 4)} AS final_loss_std
+        FROM m JOIN near USING (run_key)
+        UNION ALL SELECT run_key, NULL, arg_min(switched, id), 'failed ' || min(id), NULL, {_r('arg_min_null(train_seconds, id)', 4)}, NULL, {_r('arg_min(final_loss, id)', 4)}, NULL
+        FROM r GROUP BY run_key HAVING bool_and(failed)""",
     "run_metrics": f"""WITH a AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 <> 0 THEN o_custkey / 7.0::DOUBLE END AS secs, o_custkey AS samples,
             CASE WHEN o_orderkey % 6 = 0 THEN 0 ELSE 3 END AS n, o_totalprice AS t, CASE WHEN o_orderkey % 4 <> 0 THEN 0.5::DOUBLE END AS acc FROM orders),
         b AS (SELECT *, CASE WHEN n > 0 THEN t / 7.0::DOUBLE END AS l0, CASE WHEN n > 0 THEN t / 17.0::DOUBLE END AS l1, CASE WHEN secs <> 0 THEN secs END AS s, CASE WHEN samples <> 0 THEN samples END AS m FROM a)

@@ -106,7 +106,7 @@ def vector_chunks(spark, sf_dir):
 def shuffled_order(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     out = partitioning.shuffled(partitioning.partitioned(rows, WORKERS, rows.count()), 42, 1)
-    return out.groupBy(F.col("worker").cast("long").alias("worker")).agg(F.count_distinct("position").alias("positions"), F.max("position").alias("last"), F.sum("row_id").alias("ids"))
+    return out.select("row_id", F.col("worker").cast("long").alias("worker"), "position")
 
 
 def one_hot_labels(spark, sf_dir):
@@ -282,8 +282,8 @@ def loss_admission(spark, sf_dir):
 
 def loss_format(spark, sf_dir):
     e = _table(spark, sf_dir, "events")
-    small = F.when(F.col("event_id") % 2 == 0, F.col("value") / 99991.0).otherwise(F.col("value"))
-    return e.groupBy((F.length(fn.format_loss(small)) > 0).alias("shown")).agg(F.count(F.lit(1)).alias("n"))
+    x = F.when(F.col("event_id") % 3 == 0, F.col("value") / 99991000.0).when(F.col("event_id") % 3 == 1, -F.col("value") / 7.0).otherwise(F.col("value"))
+    return e.select("event_id", fn.format_loss(x).alias("shown"))
 
 
 def worker_state(spark, sf_dir):
@@ -298,9 +298,10 @@ def worker_state(spark, sf_dir):
 
 def event_union(spark, sf_dir):
     e = _table(spark, sf_dir, "events")
-    a = e.filter(F.col("event_id") % 3 == 0).select(F.col("event_id").alias("seq"), F.lit("loss").alias("kind"), F.col("value").alias("loss"))
-    b = e.filter(F.col("event_id") % 3 == 1).select(F.col("event_id").alias("seq"), F.lit("stop").alias("kind"))
-    return control.union_events(a, b).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count("loss").alias("with_loss"))
+    # Three listeners share all events.
+    own = lambda k, kind: e.filter(F.col("event_id") % 3 == k).withColumn("kind", F.lit(kind)).withColumnRenamed("event_id", "seq")
+    a, b, d = own(0, "loss"), own(1, "stop"), own(2, "push")
+    return control.union_events(a.select("seq", "kind", F.col("value").alias("loss")), b.select("seq", "kind"), d.select("seq", "kind", F.col("user_id").alias("worker")))
 
 
 # Metrics
@@ -312,16 +313,17 @@ def _runs(spark, sf_dir) -> DataFrame:
     return o.select(
         F.concat_ws("|", F.lit("s"), (F.col("o_custkey") % 50).cast("string")).alias("run_key"),
         F.col("o_orderkey").alias("id"),
-        F.when(F.col("o_orderkey") % 11 == 0, F.lit("failed")).alias("error"),
+        F.when((F.col("o_orderkey") % 11 == 0) | (F.col("o_custkey") % 50 == 7), F.concat(F.lit("failed "), F.col("o_orderkey"))).alias("error"),
         (F.col("o_totalprice") / 99991.0).alias("final_loss"),
         F.when(F.col("o_orderkey") % 5 == 0, None).otherwise(F.col("o_totalprice") / 7.0).alias("train_seconds"),
         (F.col("o_orderkey") % 13 == 0).alias("switched"),
+        F.array((F.col("o_totalprice") / 13.0).cast("double"), (F.col("o_totalprice") / 99991.0).cast("double")).alias("loss_history"),
     )
 
 
 def repeats_agg(spark, sf_dir):
-    out = metrics.repeats(_runs(spark, sf_dir), scalars=("train_seconds", "final_loss"))
-    return out.select("run_key", "repeats", "switched", *[_r(F.col(k), 4).alias(k) for k in ("train_seconds", "train_seconds_std", "final_loss", "final_loss_std")])
+    out = metrics.repeats(_runs(spark, sf_dir), scalars=("train_seconds", "final_loss"), order="id")
+    return out.select("run_key", "repeats", "switched", "error", _r(F.element_at("loss_history", 1), 4).alias("first_loss"), *[_r(F.col(k), 4).alias(k) for k in ("train_seconds", "train_seconds_std", "final_loss", "final_loss_std")])
 
 
 def run_metrics(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: The columns of the published table, in its order.
 FIELDS = ("suite", "model", "strategy", "workers", "servers", "batch_size", "offline_epochs", "train_seconds", "epochs_ran", "epochs_per_sec", "samples_per_sec", "final_loss", "loss_per_sec", "accuracy", "accuracy_per_sec", "error")
 
 

@@ -17,7 +17,7 @@ OUT = "run string, epoch long, loss double"
 def converged_runs(losses: DataFrame, tolerance: float) -> DataFrame:
     """From a stream (run string, epoch long, loss double): one row for each run at the epoch it converges.
 
-    State is the last loss, the count of quiet changes and whether the run has ended. Losses of a run that
+    State is the last loss, the count of quiet losses and whether the run has ended. Losses of a run that
     come in one micro-batch are taken in order of epoch.
     """
 

@@ -40,13 +40,16 @@ class Run:
         return "|".join(str(v) for v in (self.suite, self.model, self.strategy, self.workers, self.servers, self.batch_size, self.offline_epochs))
 
 
-#: Learning rate and batch of each model.
+#: Fixed values of the published campaign: learning rate and batch of each model, strategies with their servers.
 SETTINGS = {"lenet5": (0.05, 64), "nielsen": (0.1, 10)}
 STRATEGIES = (("all_reduce", 0), ("ps_barrier", 2), ("ps_async", 2), ("strategy_switch", 2))
 
 
 def suites() -> Iterator[Run]:
-    """Convergence, speed by batch and offline epochs, convergence speed, and scaling by workers."""
+    """Convergence, speed by batch and offline epochs, convergence speed, and scaling by workers.
+
+    The grid's numbers are fixed values of the published campaign.
+    """
     for model, (lr, batch) in SETTINGS.items():
         for strategy, servers in STRATEGIES:
             for workers in (3, 5, 7) if strategy == "all_reduce" else (3,):

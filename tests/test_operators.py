@@ -33,13 +33,22 @@ def test_trackers_agree_with_their_tables(losses):
     assert got == first(lambda: control.SwitchTracker(below=0.03)) and got
 
 
-def test_quiet_counts_by_hand():
-    t, counts = control.ConvergenceTracker(1.0), []
-    for x in (5, 5.5, 5.2, 9, 9.1, 9.2, 9.3):
-        t.add(x)
+def test_quiet_counts_by_hand(spark):
+    t, counts, fired, xs = control.ConvergenceTracker(1.0), [], [], (5, 5.5, 5.2, 9, 9.1, 9.2, 9.3)
+    for x in xs:
+        fired.append(t.add(x))
         counts.append(t.quiet)
-    # The change to 9 breaks the count and then counts itself.
-    assert counts == [0, 1, 2, 1, 2, 3, 4]
+    # The first loss counts, and 9, which breaks the count, is the first of the next.
+    assert counts == [1, 2, 3, 1, 2, 3, 4] and fired.index(True) == 2
+    df = spark.createDataFrame([("a", k, float(x)) for k, x in enumerate(xs)], "run string, epoch long, loss double")
+    assert [r["quiet"] for r in control.quiet_counts(df, 1.0, by=("run",)).orderBy("epoch").collect()] == counts
+
+
+def test_equal_losses_converge_at_the_third(spark):
+    t = control.ConvergenceTracker(0.0)
+    assert [t.add(0.5) for _ in range(5)] == [False, False, True, True, True]
+    df = spark.createDataFrame([("a", k, 0.5) for k in range(5)], "run string, epoch long, loss double")
+    assert control.convergence_epoch(df, 0.0, by=("run",)).first()["epoch"] == 2
 
 
 def test_admission_and_format(spark):
@@ -128,6 +137,8 @@ def test_repeats(spark):
     assert out["a"]["repeats"] == 3 and out["a"]["switched"] and out["a"]["loss_history"] == [2.2]
     assert out["a"]["final_loss"] == pytest.approx(np.mean([1, 3, 2.2])) and out["a"]["final_loss_std"] == pytest.approx(np.std([1, 3, 2.2]))
     assert out["b"]["final_loss"] is None and out["b"]["final_loss_std"] is None and out["b"]["switched"] is None
+    failed = spark.createDataFrame([("c", 1, "late", 7.0, True), ("c", 0, "first", 5.0, False)], "run_key string, repeat int, error string, final_loss double, switched boolean")
+    assert metrics.repeats(failed).select("final_loss", "error", "switched", "repeats", "final_loss_std").first() == (5.0, "first", False, None, None)
 
 
 def test_ema(spark):
