@@ -49,7 +49,73 @@ _V2 = "0.9::DOUBLE * (p / 3.0::DOUBLE) + (1 - 0.9::DOUBLE) * g"
 _S2 = "0.999::DOUBLE * (p * p) + (1 - 0.999::DOUBLE) * g * g"
 _SIZES = ((0, 1, 156), (1, 1, 0), (2, 1, 2416), (3, 1, 0), (4, 0, 48120), (5, 1, 10164), (6, 1, 850))
 
+
+
+def _half(x: str) -> str:
+    """Rounded to half precision: 11 bits, or whole multiples of the smallest subnormal."""
+    unit = f"pow(2.0::DOUBLE, greatest(floor(log2(abs({x}))), -14) - 10)"
+    return f"CASE WHEN {x} = 0 THEN 0.0::DOUBLE ELSE round_even({x} / {unit}, 0) * {unit} END"
+
+
+def _training(workers: int, rounds: int, epochs: int, lr: float, update: str, state: str = "0.0::DOUBLE AS v, 0.0::DOUBLE AS s", combine: str = "avg(g)") -> str:
+    """Tables l{round}_{epoch} (worker, loss) and p{round} (i, j, w, ..) of softmax regression; i = 64 is the bias.
+
+    Every local epoch is one step of all rows of a worker; gradients are summed over a round's epochs, rounded to
+    half precision and combined.
+    """
+    ctes = [
+        f"part AS MATERIALIZED (SELECT vec_id AS row, label, ntile({workers}) OVER (ORDER BY vec_id) - 1 AS worker, embedding FROM embeddings)",
+        """xa AS MATERIALIZED (SELECT row, worker, i - 1 AS i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT row, worker, embedding, unnest(range(1, 65)) AS i FROM part)
+            UNION ALL SELECT row, worker, 64, 1.0::DOUBLE FROM part)""",
+        "sizes AS MATERIALIZED (SELECT worker, count(*) AS n FROM part GROUP BY worker)",
+        f"p0 AS MATERIALIZED (SELECT i, j, CASE WHEN i < 64 THEN {_W} ELSE j / 7.0::DOUBLE END AS w, {state} FROM range(65) a(i), range(10) b(j))",
+    ]
+    for r in range(rounds):
+        ctes.append(f"w{r}_0 AS MATERIALIZED (SELECT worker, i, j, w FROM p{r}, sizes)")
+        for e in range(epochs):
+            at = f"{r}_{e}"
+            ctes += [
+                f"z{at} AS MATERIALIZED (SELECT row, worker, j, sum(x * w) AS z FROM xa JOIN w{at} USING (worker, i) GROUP BY row, worker, j)",
+                f"e{at} AS MATERIALIZED (SELECT row, worker, j, exp(z - max(z) OVER (PARTITION BY row)) AS e FROM z{at})",
+                f"q{at} AS MATERIALIZED (SELECT row, q.worker, j, j = label AS hit, e / sum(e) OVER (PARTITION BY row) AS q FROM e{at} q JOIN part USING (row))",
+                f"l{at} AS MATERIALIZED (SELECT worker, sum(CASE WHEN hit THEN -ln(greatest(q, 1.1920928955078125e-07)) ELSE 0 END) / (10 * any_value(n)) AS loss FROM q{at} JOIN sizes USING (worker) GROUP BY worker)",
+                f"""g{at} AS MATERIALIZED (SELECT worker, i, j, sum(x * (q - CASE WHEN hit THEN 1 ELSE 0 END)) / (10 * any_value(n)) AS g
+                    FROM q{at} JOIN xa USING (row, worker) JOIN sizes USING (worker) GROUP BY worker, i, j)""",
+                f"w{r}_{e + 1} AS MATERIALIZED (SELECT worker, i, j, w - {lr!r}::DOUBLE * g AS w FROM w{at} JOIN g{at} USING (worker, i, j))",
+            ]
+        union = " UNION ALL ".join(f"SELECT * FROM g{r}_{e}" for e in range(epochs))
+        ctes += [
+            f"s{r} AS MATERIALIZED (SELECT worker, i, j, sum(g) AS g FROM ({union}) GROUP BY worker, i, j)",
+            f"m{r} AS MATERIALIZED (SELECT i, j, {combine} AS g FROM (SELECT i, j, {_half('g')} AS g FROM s{r}) GROUP BY i, j)",
+            f"p{r + 1} AS MATERIALIZED (SELECT i, j, {update.format(t=r + 1)} FROM p{r} JOIN m{r} USING (i, j))",
+        ]
+    return "WITH " + ", ".join(ctes)
+
+
+def _reported(rounds: int, epochs: int) -> str:
+    own = [f"SELECT worker, CAST({r * epochs + e} AS BIGINT) AS epoch, loss FROM l{r}_{e}" for r in range(rounds) for e in range(epochs)]
+    return " UNION ALL ".join(own)
+
+
+def _values(table: str) -> str:
+    return f"SELECT CASE WHEN i < 64 THEN 'weight' ELSE 'bias' END AS name, CASE WHEN i < 64 THEN i * 10 + j ELSE j END AS at, {_r('w', 3)} AS value FROM {table}"
+
+
+_GD = "w - {lr}::DOUBLE * g AS w, v, s"
+_TWO = _training(4, 2, 2, 2.0, _GD.replace("{lr}", "2.0"))
+_ADAM = """w - 0.05::DOUBLE * sqrt(1 - pow(0.999::DOUBLE, {t})) / (1 - pow(0.9::DOUBLE, {t})) * (0.9::DOUBLE * v + 0.1::DOUBLE * g)
+    / (sqrt(0.999::DOUBLE * s + 0.001::DOUBLE * g * g) + 1e-8::DOUBLE) AS w, 0.9::DOUBLE * v + 0.1::DOUBLE * g AS v, 0.999::DOUBLE * s + 0.001::DOUBLE * g * g AS s"""
+
 ORACLE = {
+    "allreduce_rounds": f"{_TWO} SELECT worker, epoch, {_r('loss', 5)} AS loss FROM ({_reported(2, 2)})",
+    "allreduce_weights": f"{_TWO} {_values('p2')}",
+    "adam_weights": f"{_training(4, 2, 1, 0.05, _ADAM)} {_values('p2')}",
+    "server_rounds": f"""{_training(3, 3, 1, 2.0, 'w - 2.0::DOUBLE * (0.5::DOUBLE * v + g) AS w, 0.5::DOUBLE * v + g AS v, s')}
+        SELECT worker, epoch, {_r('loss', 5)} AS loss FROM ({_reported(3, 1)})""",
+    "wild_rounds": f"{_training(3, 2, 1, 1.0, _GD.replace('{lr}', '1.0'), combine='sum(g)')} SELECT worker, epoch, {_r('loss', 5)} AS loss FROM ({_reported(2, 1)})",
+    "early_stop": f"""{_training(3, 3, 1, 0.5, _GD.replace('{lr}', '0.5'))} SELECT 'loss' AS kind, worker, epoch, {_r('loss', 5)} AS loss, NULL AS detail FROM ({_reported(3, 1)})
+        UNION ALL SELECT 'stop', NULL, NULL, NULL, 'early_stopping'""",
+    "predictions": f"""{_TWO}, z AS (SELECT row, j, sum(x * w) AS z FROM xa JOIN p2 USING (i) GROUP BY row, j) SELECT row AS row_id, arg_max(j, z) AS prediction FROM z GROUP BY row""",
     "partition_sizes": f"WITH {_PART} SELECT worker, count(*) AS n, min(row_id) AS first, max(row_id) AS last FROM part GROUP BY worker",
     "batch_index": f"WITH {_PART} SELECT row_id, worker, (row_number() OVER (PARTITION BY worker ORDER BY row_id) - 1) // 64 AS batch FROM part",
     "redistribution": f"""WITH {_PART}, s AS (SELECT row_id, worker, ntile(5) OVER (PARTITION BY worker ORDER BY row_id) - 1 AS share FROM part)
@@ -120,6 +186,37 @@ ORACLE = {
         p AS (SELECT x.i AS s1, y.i AS s2 FROM range(6) x(i), range(6) y(i) WHERE x.i < y.i),
         m AS (SELECT s1, s2, max(w) AS worst FROM p JOIN u ON (a = s1 AND b <> s2) OR (a = s2 AND b <> s1) GROUP BY s1, s2)
         SELECT s1, s2, {_r('worst')} AS worst FROM m ORDER BY m.worst, s1, s2 LIMIT 1""",
+    "ring_order": f"""WITH {_PING}, w AS (SELECT src AS a, dst AS b, max(rtt) AS w FROM pg GROUP BY 1, 2), u AS (SELECT a, b, w FROM w UNION ALL SELECT b, a, w FROM w),
+        s AS (SELECT [0, a.i, b.i, c.i, d.i, e.i] AS ring FROM range(1, 6) a(i), range(1, 6) b(i), range(1, 6) c(i), range(1, 6) d(i), range(1, 6) e(i)
+            WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5 AND a.i < e.i),
+        h AS (SELECT ring, ring[k + 1] AS x, ring[(k + 1) % 6 + 1] AS y FROM s, range(6) t(k)),
+        best AS (SELECT ring FROM h JOIN u ON a = x AND b = y GROUP BY ring ORDER BY sum(w) LIMIT 1)
+        SELECT least(x, y) AS a, greatest(x, y) AS b FROM h JOIN best USING (ring)""",
+    "node_roles": f"""WITH {_PING}, w AS (SELECT src AS a, dst AS b, max(rtt) AS w FROM pg GROUP BY 1, 2), u AS (SELECT a, b, w FROM w UNION ALL SELECT b, a, w FROM w),
+        p AS (SELECT x.i AS s1, y.i AS s2 FROM range(6) x(i), range(6) y(i) WHERE x.i < y.i),
+        m AS (SELECT s1, s2, max(w) AS worst FROM p JOIN u ON (a = s1 AND b <> s2) OR (a = s2 AND b <> s1) GROUP BY s1, s2 ORDER BY worst, s1, s2 LIMIT 1),
+        left_ AS (SELECT i, row_number() OVER (ORDER BY i) AS k FROM range(6) t(i), m WHERE i <> s1 AND i <> s2),
+        rings AS (SELECT [w1.i, a.i, b.i, c.i] AS ring FROM left_ w1, left_ a, left_ b, left_ c WHERE w1.k = 1 AND len(list_distinct([w1.i, a.i, b.i, c.i])) = 4 AND a.i < c.i),
+        h AS (SELECT ring, ring[k + 1] AS x, ring[(k + 1) % 4 + 1] AS y FROM rings, range(4) t(k)),
+        best AS (SELECT ring FROM h JOIN u ON a = x AND b = y GROUP BY ring ORDER BY sum(w) LIMIT 1)
+        SELECT 'ring' AS role, least(x, y) AS node, greatest(x, y) AS next FROM h JOIN best USING (ring)
+        UNION ALL SELECT 'server', s1, NULL FROM m UNION ALL SELECT 'server', s2, NULL FROM m""",
+    "text_source": f"WITH {_X} SELECT vec_id AS row_id, count(*) AS width, {_r('sum(v)', 4)} AS total, {_r('any_value(CAST(label AS DOUBLE))')} AS y FROM x GROUP BY vec_id",
+    "packed_source": f"WITH {_X} SELECT vec_id AS row_id, count(*) AS width, {_r('sum(v)', 4)} AS total, {_r('any_value(CAST(label AS DOUBLE))')} AS y FROM x GROUP BY vec_id",
+    "idx_source": f"WITH {_X} SELECT vec_id AS row_id, {_r('CAST(sum(CAST(floor(abs(v) * 1000) AS BIGINT) % 256) AS DOUBLE)', 1)} AS grey, CAST(any_value(label) AS BIGINT) AS label FROM x GROUP BY vec_id",
+    "history_source": f"SELECT 's|' || o_orderkey AS run_key, {_r('CASE WHEN o_orderkey % 4 = 0 THEN -1 ELSE 1 END * o_totalprice / 7.0::DOUBLE', 4)} AS final_loss FROM orders",
+    "config_source": "SELECT CAST(l AS BIGINT) AS layer, k AS kind, CAST(p AS BIGINT) AS parameters, CAST(i AS BIGINT) AS inputs, CAST(o AS BIGINT) AS outputs FROM (VALUES (0, 'conv', 3 * 9 + 3, 64, 192), (1, 'max_pooling', 0, 192, 48), (2, 'dense', 48 * 20 + 20, 48, 20), (3, 'dense', 20 * 10 + 10, 20, 10)) t(l, k, p, i, o)",
+    "first_parameters": """SELECT k AS kind, CAST(n AS BIGINT) AS n, round(CAST(m AS DOUBLE) * 50) / 50 AS mean, round(CAST(d AS DOUBLE) * 50) / 50 AS deviation, true AS bounded FROM (VALUES ('const', 40000, 0.24, 0),
+        ('uniform', 40000, 1, 4 / sqrt(12)), ('uniform_inclusive', 40000, 1, 4 / sqrt(12)), ('normal', 40000, 2, 0.5), ('kaiming', 40000, 0, sqrt(2 / 100)), ('xavier', 40000, 0, sqrt(2 / 150)),
+        ('lecun', 40000, 0, sqrt(1 / 100)), ('xavier_uniform', 40000, 0, sqrt(6 / 150) / sqrt(3)), ('lecun_uniform', 40000, 0, sqrt(3 / 100) / sqrt(3)), ('inline_params', 3, 7, 0)) t(k, n, m, d)""",
+    "half_push": f"SELECT user_id % 64 AS worker, event_id AS pos, {_half('v')} AS arrived, 0.0::DOUBLE AS \"left\" FROM (SELECT user_id, event_id, CAST(CAST(value - 50.0::DOUBLE AS FLOAT) AS DOUBLE) AS v FROM events)",
+    "sparse_push": f"""WITH g AS (SELECT user_id % 64 AS worker, event_id AS pos, CAST(CAST(value - 50.0::DOUBLE AS FLOAT) AS DOUBLE) AS v FROM events),
+        s AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY abs(v)) - 1 AS k, count(*) OVER (PARTITION BY worker) AS n FROM g),
+        th AS (SELECT worker, greatest(abs(v), pow(2.0::DOUBLE, -14)) AS least FROM s WHERE k = CAST(floor(n * (1 - 0.3::DOUBLE)) AS BIGINT)),
+        kept AS (SELECT worker, pos, v, n, abs(v) >= least AS kept FROM s JOIN th USING (worker)),
+        runs AS (SELECT *, kept AND NOT coalesce(lag(kept) OVER (PARTITION BY worker ORDER BY pos), false) AS opens FROM kept),
+        form AS (SELECT worker, 8 + 8 * count(*) FILTER (opens) + 2 * count(*) FILTER (kept) <= 2 * any_value(n) AS sparse FROM runs GROUP BY worker)
+        SELECT worker, pos, CASE WHEN kept OR NOT sparse THEN {_half('v')} ELSE 0 END AS arrived, CASE WHEN kept OR NOT sparse THEN 0 ELSE v END AS "left" FROM kept JOIN form USING (worker)""",
     "gd_step": f"WITH {_PAR} SELECT dim, {_r('p - 0.03::DOUBLE * g')} AS p2 FROM o",
     "momentum_step": f"WITH {_PAR}, v AS (SELECT *, 0.9::DOUBLE * (p / 3.0::DOUBLE) + g AS v2 FROM o) SELECT dim, {_r('p - 0.03::DOUBLE * v2')} AS p2, {_r('v2')} AS v2 FROM v",
     "adam_step": f"""WITH {_PAR}, v AS (SELECT *, {_V2} AS v2, {_S2} AS s2 FROM o)

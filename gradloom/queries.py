@@ -6,18 +6,30 @@ indices, so that any engine can compute them. Values are rounded, with ``+ 0.0``
 
 from __future__ import annotations
 
+import json
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config as c
 from . import models
 from .functions import columns as fn
+from .kernels import codec
 from .operators import control, layers, metrics, partitioning, vectors
+from .plans import topology
+from .plans.initial import draw
+from .plans.lowering import layer_params
 from .plans.placement import placement
+from .plans.validate import layer_sizes
 from .session import orchestrate
-from .sources.tables import append, one_hot, subset
+from .sources.tables import append, filesystem, history, idx_images, idx_labels, local, one_hot, subset
 
 WORKERS, BATCH = 7, 64
 
@@ -366,9 +378,157 @@ def server_choice(spark, sf_dir):
     return metrics.server_choice(_pings(spark, sf_dir), nodes).select("s1", "s2", _r(F.col("worst")).alias("worst"))
 
 
+def _worst(spark, sf_dir) -> list[tuple[int, int, float]]:
+    """(node, node, largest round trip): a row for each pair of a few nodes."""
+    return [(r["src"], r["dst"], r["max_rtt"]) for r in metrics.ping_stats(_pings(spark, sf_dir)).collect()]
+
+
+def ring_order(spark, sf_dir):
+    """Edges of the shortest cycle through all nodes."""
+    ring = topology.ring_order(topology.Graph(6, _worst(spark, sf_dir)))
+    edges = [(min(a, b), max(a, b)) for a, b in zip(ring, [*ring[1:], *ring[:1]], strict=True)]
+    return spark.createDataFrame(edges, "a long, b long")
+
+
+def node_roles(spark, sf_dir):
+    """Two servers, and the workers with the edges of their ring."""
+    servers, workers = topology.roles(6, 2, _worst(spark, sf_dir))
+    edges = [(min(a, b), max(a, b)) for a, b in zip(workers, [*workers[1:], *workers[:1]], strict=True)]
+    return spark.createDataFrame([("server", s, None) for s in servers] + [("ring", a, b) for a, b in edges], "role string, node long, next long")
+
+
+# Sources: tables written in each format and read back
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a temporary one in a local session that names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="gradloom-")
+    return f"{base if '://' in base else 'file://' + os.path.abspath(base)}/sources-{uuid.uuid4().hex}"
+
+
+def _read_back(df: DataFrame) -> DataFrame:
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    return df.select("row_id", F.size("x").cast("long").alias("width"), _r(total, 4).alias("total"), _r(F.element_at("y", 1).cast("double")).alias("y"))
+
+
+def text_source(spark, sf_dir):
+    """Features as CSV with a header, labels as TSV, written in order of rows and paired by row number."""
+    folder, rows = _folder(spark), _rows(spark, sf_dir).orderBy("row_id")
+    rows.select(*[F.element_at("x", k + 1).alias(f"f{k}") for k in range(64)]).coalesce(1).write.csv(f"{folder}/x.csv", header=True)
+    _table(spark, sf_dir, "embeddings").orderBy("vec_id").select(F.col("label").cast("float")).coalesce(1).write.csv(f"{folder}/y.tsv", sep="\t")
+    return _read_back(local(spark, c.LocalDataset(f"{folder}/x.csv", f"{folder}/y.tsv", 64, 1)))
+
+
+def packed_source(spark, sf_dir):
+    """Features and labels as little-endian floats without a header, a file a task."""
+    folder = _folder(spark)
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.array(F.col("label").cast("float")).alias("y")).repartitionByRange(3, "vec_id").sortWithinPartitions("vec_id")
+
+    def write(batches):
+        for batch in batches:
+            if batch.num_rows:
+                for name, kind in (("embedding", "x"), ("y", "y")):
+                    fs, root = filesystem(f"{folder}/{kind}")
+                    fs.create_dir(root, recursive=True)
+                    # Named by its first row, so that files by name are in order of rows.
+                    with fs.open_output_stream(f"{root}/{batch.column(0)[0].as_py():012d}") as out:
+                        out.write(batch.column(name).flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes())
+                yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    rows.mapInArrow(write, "n long").collect()
+    return _read_back(local(spark, c.LocalDataset(f"{folder}/x", f"{folder}/y", 64, 1)))
+
+
+def idx_source(spark, sf_dir):
+    """Embeddings as 8x8 images of 256 grey values with their labels, in IDX files."""
+    folder = _folder(spark)
+    grey = F.transform("embedding", lambda v: F.pmod(F.floor(F.abs(v.cast("double")) * 1000), F.lit(256)).cast("int"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", grey.alias("grey"), "label").repartition(1).sortWithinPartitions("vec_id")
+
+    def write(batches):
+        parts = [(b.column("grey").flatten().to_numpy().astype(np.uint8).tobytes(), b.column("label").to_numpy().astype(np.uint8).tobytes(), b.num_rows) for b in batches]
+        n = sum(k for *_, k in parts)
+        for at, name, head in ((0, "images", np.array([2051, n, 8, 8], ">i4")), (1, "labels", np.array([2049, n], ">i4"))):
+            fs, root = filesystem(f"{folder}/{name}")
+            fs.create_dir(root, recursive=True)
+            with fs.open_output_stream(f"{root}/part") as out:
+                out.write(head.tobytes() + b"".join(p[at] for p in parts))
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    rows.mapInArrow(write, "n long").collect()
+    images, labels = idx_images(spark, f"{folder}/images"), idx_labels(spark, f"{folder}/labels")
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * 255.0)
+    return images.join(labels, "row_id").select("row_id", _r(total, 1).alias("grey"), F.col("label").cast("long").alias("label"))
+
+
+def history_source(spark, sf_dir):
+    """Records in two files of JSON lines, of which the second repeats some keys."""
+    folder = _folder(spark)
+    o = _table(spark, sf_dir, "orders").select(F.concat_ws("|", F.lit("s"), F.col("o_orderkey").cast("string")).alias("run_key"), "o_orderkey", (F.col("o_totalprice") / 7.0).alias("final_loss"))
+    keyless = spark.createDataFrame([("no separator", 0, 0.0)], "run_key string, o_orderkey long, final_loss double")
+    for name, rows in (("0", o.union(keyless)), ("1", o.filter(F.col("o_orderkey") % 4 == 0).withColumn("final_loss", -F.col("final_loss")))):
+        rows.coalesce(1).write.json(f"{folder}/{name}")
+        fs, root = filesystem(f"{folder}/{name}")
+        part = next(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".json"))
+        fs.create_dir(f"{root}/../all", recursive=True)
+        fs.move(part, f"{root}/../all/{name}.jsonl")
+    return history(spark, f"{folder}/all").select("run_key", _r(F.col("final_loss"), 4).alias("final_loss"))
+
+
+def config_source(spark, sf_dir):
+    """Layers of a model that went through its JSON form, with their parameters."""
+    model = c.Sequential([c.Conv2d((1, 8, 8), (3, 1, 3), 1, 1, c.Kaiming(), c.ReLU(0.1)), c.MaxPooling((3, 8, 8), 2, 2), c.Dense(20, c.Uniform(-0.5, 0.5), c.Tanh(1.5)), c.Dense(10, c.Xavier(), c.Softmax())])
+    back = c.model_from_json(json.dumps(model.to_json()))
+    if back != model:
+        raise ValueError("a model changed on its way through JSON")
+    rows = [(k, x.key(), n, a, b) for k, (x, n, (a, b)) in enumerate(zip(back.layers, layer_params(back, 64), layer_sizes(back, 64), strict=True))]
+    return spark.createDataFrame(rows, "layer long, kind string, parameters long, inputs long, outputs long")
+
+
 # Vectors
 
 
+def first_parameters(spark, sf_dir):
+    """Draws of every initialiser for 100 inputs and 50 outputs against their limits, means and deviations."""
+    n, rng = 40_000, np.random.default_rng(11)
+    kinds = (c.Const(0.24), c.Uniform(-1.0, 3.0), c.UniformInclusive(-1.0, 3.0), c.Normal(2.0, 0.5), c.Kaiming(), c.Xavier(), c.Lecun(), c.XavierUniform(), c.LecunUniform())
+    rows = []
+    for kind in kinds:
+        x = draw(kind, n, 100, 50, rng).astype(float)
+        rows.append((kind.key(), n, round(float(x.mean()) * 50) / 50 + 0.0, round(float(x.std()) * 50) / 50, float(np.abs(x - x.mean()).max()) < 6 * float(x.std()) + 1e-9))
+    given = draw(c.InlineParams((1.0, 2.0, 4.0)), 3, 1, 1, rng)
+    return spark.createDataFrame([*rows, ("inline_params", 3, float(given.sum()), 0.0, True)], "kind string, n long, mean double, deviation double, bounded boolean")
+
+
+def _pushes(spark, sf_dir) -> DataFrame:
+    """(worker, pos, value): a gradient for each of 64 workers."""
+    e = _table(spark, sf_dir, "events").select((F.col("user_id") % 64).alias("worker"), F.col("event_id").alias("pos"), (F.col("value") - 50.0).cast("float").alias("value"))
+    return e
+
+
+def _sent(spark, sf_dir, keep_ratio: float | None) -> DataFrame:
+    """Each worker's gradient as it arrives, and what stays with the worker."""
+
+    def push(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        arrived, left = codec.send(table.column("value").to_numpy(), keep_ratio)
+        return pa.table({"worker": table.column("worker"), "pos": table.column("pos"), "arrived": pa.array(arrived.astype(float)), "left": pa.array(left.astype(float))})
+
+    return _pushes(spark, sf_dir).groupBy("worker").applyInArrow(push, "worker long, pos long, arrived double, left double")
+
+
+def half_push(spark, sf_dir):
+    return _sent(spark, sf_dir, None)
+
+
+def sparse_push(spark, sf_dir):
+    return _sent(spark, sf_dir, 0.3)
+
+
 def _params(spark, sf_dir) -> tuple[DataFrame, Column, Column]:
     o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("dim"), (F.col("o_totalprice") / 99991.0).alias("p"), (F.col("o_custkey") / 7.0).alias("g"))
     return o, F.col("p"), F.col("g")
@@ -457,20 +617,72 @@ def strategy_switch(spark, sf_dir):
     return _losses(spark, _softmax_model(), t)
 
 
-def early_stop(spark, sf_dir):
-    t = c.all_reduce(3, _dataset(spark, sf_dir), c.GradientDescent(0.001), c.CrossEntropy(), 12, BATCH, seed=7, early_stopping_tolerance=0.01)
-    return _losses(spark, _softmax_model(), t)
-
-
 def model_weights(spark, sf_dir):
     t = c.all_reduce(4, _dataset(spark, sf_dir), c.GradientDescent(0.5), c.CrossEntropy(), 2, BATCH, seed=7)
     return orchestrate(spark, models.small_conv(), t).wait().weights()
 
 
+# Runs that SQL can follow: given first parameters, and all rows of a worker in one batch, so that no order matters.
+
+
+def _given_model() -> c.Sequential:
+    """Softmax regression that starts from the weights of ``weight`` and biases of j / 7."""
+    values = [((i * 7 + j * 3) % 11 - 5) / 50.0 for i in range(64) for j in range(10)] + [j / 7.0 for j in range(10)]
+    return c.Sequential([c.Dense(10, c.InlineParams(tuple(values)), c.Softmax())])
+
+
+def _whole(spark, sf_dir, make, *args, **more):
+    """A run whose batches are as large as the dataset."""
+    data = _dataset(spark, sf_dir)
+    return orchestrate(spark, _given_model(), make(*args, dataset=data, loss_fn=c.CrossEntropy(), batch_size=data.df.count(), seed=7, **more)).wait()
+
+
+def _rounds(spark, sf_dir):
+    """Four workers, two rounds of two local epochs, averaged gradients."""
+    return _whole(spark, sf_dir, c.all_reduce, 4, optimizer=c.GradientDescent(2.0), max_epochs=4, offline_epochs=1)
+
+
+def _reported(model) -> DataFrame:
+    return model.events.filter("kind = 'loss'").select(F.col("worker").cast("long").alias("worker"), F.col("epoch").cast("long").alias("epoch"), _r(F.col("loss"), 5).alias("loss"))
+
+
+def _values(model) -> DataFrame:
+    w = model.weights().select("name", F.posexplode("values").alias("at", "value"))
+    return w.select("name", F.col("at").cast("long").alias("at"), _r(F.col("value").cast("double"), 3).alias("value"))
+
+
+def allreduce_rounds(spark, sf_dir):
+    return _reported(_rounds(spark, sf_dir))
+
+
+def allreduce_weights(spark, sf_dir):
+    return _values(_rounds(spark, sf_dir))
+
+
+def adam_weights(spark, sf_dir):
+    return _values(_whole(spark, sf_dir, c.all_reduce, 4, optimizer=c.Adam(0.05), max_epochs=2))
+
+
+def server_rounds(spark, sf_dir):
+    """Three workers, two servers, a barrier, averaged pushes, momentum; three rounds."""
+    return _reported(_whole(spark, sf_dir, c.parameter_server, 5, 2, optimizer=c.GradientDescentWithMomentum(2.0, 0.5), sync=c.BarrierSync(), store=c.BlockingStore(), max_epochs=3))
+
+
+def wild_rounds(spark, sf_dir):
+    """Like ``server_rounds``, but each push is applied whole as it comes."""
+    return _reported(_whole(spark, sf_dir, c.parameter_server, 5, 2, optimizer=c.GradientDescent(1.0), sync=c.BarrierSync(), store=c.WildStore(), max_epochs=2))
+
+
+def early_stop(spark, sf_dir):
+    """Stops at the third round, as all losses are within the tolerance."""
+    model = _whole(spark, sf_dir, c.all_reduce, 3, optimizer=c.GradientDescent(0.5), max_epochs=12, early_stopping_tolerance=10.0)
+    return model.events.select("kind", F.col("worker").cast("long").alias("worker"), F.col("epoch").cast("long").alias("epoch"), _r(F.col("loss"), 5).alias("loss"), "detail")
+
+
 def predictions(spark, sf_dir):
-    t = c.all_reduce(4, _dataset(spark, sf_dir), c.GradientDescent(0.5), c.CrossEntropy(), 2, BATCH, seed=7)
-    model = orchestrate(spark, _softmax_model(), t).wait()
-    return model.predict(_rows(spark, sf_dir)).select("row_id", "prediction")
+    out = _rounds(spark, sf_dir).predict(_rows(spark, sf_dir))
+    best = F.array_max(F.transform("prediction", lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+    return out.select("row_id", best["i"].cast("long").alias("prediction"))
 
 
 NAMES = (
@@ -478,7 +690,9 @@ NAMES = (
     "dense_forward dense_join dense_backward softmax softmax_backward softmax_grad conv2d_pad1 conv2d_gradient conv2d_input_delta max_pool max_pool_backward reshape_round_trip activations "
     "cross_entropy linreg_gradient argmax_accuracy loss_by_epoch mean_without_promoted convergence_epoch quiet_counts switch_epoch loss_admission loss_format worker_state event_union "
     "repeats_agg run_metrics newest_run interval_ema ping_stats server_choice gd_step momentum_step adam_step mean_gradient sparse_threshold sparse_runs layer_placement "
-    "local_sgd_allreduce sparse_allreduce ps_barrier ps_async strategy_switch early_stop model_weights predictions"
+    "ring_order node_roles text_source packed_source idx_source history_source config_source first_parameters half_push sparse_push "
+    "local_sgd_allreduce sparse_allreduce ps_barrier ps_async strategy_switch model_weights "
+    "allreduce_rounds allreduce_weights adam_weights server_rounds wild_rounds early_stop predictions"
 ).split()
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from pathlib import PurePosixPath
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as c
@@ -33,20 +36,61 @@ def separator(path: str) -> str | None:
     return {".csv": ",", ".tsv": "\t"}.get(PurePosixPath(path).suffix.lower())
 
 
-def packed(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """(row_id, values): little-endian 32-bit floats without a header, ``width`` a row.
+#: Bytes of packed rows that one task reads, and of one Arrow batch.
+RANGE_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
+
+
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
 
-    Record readers are Hadoop's, splittable and aligned to rows; numbering rows takes one count a
-    partition, as no column says where a record stood.
-    """
-    rows = spark.sparkContext.binaryRecords(path, 4 * width).zipWithIndex()
-    frame = spark.createDataFrame(rows.map(lambda r: (r[1], bytearray(r[0]))), "row_id long, raw binary")
 
-    def floats(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"row_id": pdf["row_id"], "values": [np.frombuffer(b, "<f4") for b in pdf["raw"]]})
+def packed(spark: SparkSession, path: str, width: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(row_id, values): little-endian 32-bit floats without a header, ``width`` a row; of a folder all files by name.
 
-    return frame.mapInPandas(floats, "row_id long, values array<float>")
+    Tasks read byte ranges that hold whole rows, so that a row's number follows from where it stands.
+    """
+    fs, root = filesystem(path)
+    info = fs.get_file_info(root)
+    files = [info] if info.type == pafs.FileType.File else sorted(fs.get_file_info(pafs.FileSelector(root)), key=lambda f: f.path)
+    step, size = max(1, range_bytes // (4 * width)), 4 * width
+    ranges, first = [], 0
+    for f in files:
+        if f.type != pafs.FileType.File or os.path.basename(f.path).startswith(("_", ".")):
+            continue
+        if f.size % size:
+            raise DataError(f"{f.path} has {f.size} bytes, which are no whole rows of {width} floats")
+        n = f.size // size
+        ranges += [(f.path, at, min(step, n - at), first + at) for at in range(0, n, step)]
+        first += n
+
+    def run(batches):
+        own, _ = filesystem(path)
+        for batch in batches:
+            for name, at, n, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with own.open_input_file(name) as source:
+                    some = max(1, BATCH_BYTES // size)
+                    for k in range(0, n, some):
+                        m = min(some, n - k)
+                        source.seek((at + k) * size)
+                        values = pa.array(np.frombuffer(source.read(m * size), "<f4"))
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, m * width + 1, width, dtype=np.int32)), values)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(row + k, row + k + m)), lists], names=["row_id", "values"])
+
+    table = spark.createDataFrame(ranges, "path string, at long, n long, row long").repartition(max(1, len(ranges)))
+    return table.mapInArrow(run, "row_id long, values array<float>")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, text), lines counted from 1 over files by name. Splits count their lines side by side."""
+    rows = spark.read.text(path).select(
+        F.col("value").alias("text"), F.col("_metadata.file_path").alias("_file"), F.input_file_block_start().alias("_start"), F.monotonically_increasing_id().alias("_at")
+    )
+    w = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # One row a split.
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    return rows.join(splits, ["_file", "_start"]).select((F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line"), "text")
 
 
 def text_table(spark: SparkSession, path: str, width: int) -> DataFrame:
@@ -56,7 +100,7 @@ def text_table(spark: SparkSession, path: str, width: int) -> DataFrame:
     fields isn't a number. Any other field that isn't a number fails the job and names its line.
     """
     sep = separator(path)
-    lines = spark.createDataFrame(spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex().map(lambda r: (r[1] + 1, r[0])), "line long, text string")
+    lines = numbered_lines(spark, path)
     full = lines.filter(F.trim("text") != "").withColumn("raw", F.transform(F.split("text", sep), lambda v: F.trim(v)))
     parsed = full.withColumn("values", F.expr("transform(raw, v -> try_cast(v AS float))"))
     first = parsed.orderBy("line").first()
