@@ -63,8 +63,19 @@ class DenseKernel(Kernel):
         return delta @ weights.T
 
 
-def _padded(x: np.ndarray, p: int) -> np.ndarray:
-    return np.pad(x, ((0, 0), (0, 0), (p, p), (p, p))) if p else x
+def _inside_out(x: np.ndarray, p: int = 0) -> np.ndarray:
+    """(channels, height, width, batch) of (batch, channels, height, width), with ``p`` zeros around each image.
+
+    Layers keep images in memory with the batch innermost, so that all steps run over stretches of it; what they
+    hand on is a view of that in the outer order.
+    """
+    x = x.transpose(1, 2, 3, 0)
+    if not p:
+        return np.ascontiguousarray(x)
+    c, h, w, b = x.shape
+    out = np.zeros((c, h + 2 * p, w + 2 * p, b), x.dtype)
+    out[:, p : p + h, p : p + w] = x
+    return out
 
 
 def _places(k: int, stride: int, out: tuple[int, int]) -> list[tuple[slice, slice]]:
@@ -98,30 +109,38 @@ class ConvKernel(Kernel):
         if ranked(x, 4).shape[1] != self.channels:
             raise ShapeError(f"{self.channels} channels are needed, got {x.shape[1]}")
         self.shape, self.out = x.shape, _outputs(x.shape, self.k, self.stride, self.padding)
-        image = _padded(x, self.padding)
-        cells = np.empty((len(x), self.channels, self.k * self.k, *self.out), x.dtype)
+        image = _inside_out(x, self.padding)
+        cells = np.empty((self.channels, self.k * self.k, *self.out, len(x)), x.dtype)
         for n, (rows, cols) in enumerate(_places(self.k, self.stride, self.out)):
-            cells[:, :, n] = image[:, :, rows, cols]
-        self.cells = cells.reshape(len(x), kernels.shape[1], -1)
-        return (kernels @ self.cells + bias[:, None]).reshape(len(x), self.filters, *self.out)
+            cells[:, n] = image[:, rows, cols]
+        self.cells = cells.reshape(kernels.shape[1], -1)
+        out = kernels @ self.cells
+        out += bias[:, None]
+        return out.reshape(self.filters, *self.out, len(x)).transpose(3, 0, 1, 2)
+
+    def _flat(self, delta: np.ndarray) -> np.ndarray:
+        return _inside_out(delta).reshape(self.filters, -1)
 
     def gradients(self, params, grad, delta):
+        self._gradients(grad, self._flat(delta))
+
+    def _gradients(self, grad: np.ndarray, flat: np.ndarray) -> None:
         to_kernels, to_bias = self._split(grad)
-        flat = delta.reshape(len(delta), self.filters, -1)
-        to_kernels[...] = (flat @ self.cells.transpose(0, 2, 1)).sum(axis=0)
-        to_bias[...] = flat.sum(axis=(0, 2))
+        to_kernels[...] = flat @ self.cells.T
+        to_bias[...] = flat.sum(axis=1)
 
     def backward(self, params, grad, delta):
-        self.gradients(params, grad, delta)
+        flat = self._flat(delta)
+        self._gradients(grad, flat)
         kernels, _ = self._split(params)
         b, c, h, w = self.shape
         p = self.padding
         # Scatter over the padded image, then crop: right for any padding.
-        out = np.zeros((b, c, h + 2 * p, w + 2 * p), delta.dtype)
-        spread = (kernels.T @ delta.reshape(b, self.filters, -1)).reshape(b, c, self.k * self.k, *self.out)
+        out = np.zeros((c, h + 2 * p, w + 2 * p, b), delta.dtype)
+        spread = (kernels.T @ flat).reshape(c, self.k * self.k, *self.out, b)
         for n, (rows, cols) in enumerate(_places(self.k, self.stride, self.out)):
-            out[:, :, rows, cols] += spread[:, :, n]
-        return out[:, :, p : p + h, p : p + w]
+            out[:, rows, cols] += spread[:, n]
+        return out[:, p : p + h, p : p + w].transpose(3, 0, 1, 2)
 
 
 @dataclass
@@ -132,25 +151,23 @@ class PoolKernel(Kernel):
 
     def forward(self, params, x):
         self.shape, self.out = ranked(x, 4).shape, _outputs(x.shape, self.k, self.stride, self.padding)
-        image, best = _padded(x, self.padding), None
-        for n, (rows, cols) in enumerate(_places(self.k, self.stride, self.out)):
-            cell = image[:, :, rows, cols]
-            if best is None:
-                best, self.best = cell.copy(), np.zeros(cell.shape, np.int16)
-                continue
-            # The last of equal maxima wins.
-            up = cell >= best
-            np.copyto(best, cell, where=up)
-            np.copyto(self.best, n, where=up)
-        return best
+        self.image, self.best = _inside_out(x, self.padding), None
+        for rows, cols in _places(self.k, self.stride, self.out):
+            cell = self.image[:, rows, cols]
+            self.best = cell.copy() if self.best is None else np.maximum(self.best, cell, out=self.best)
+        return self.best.transpose(3, 0, 1, 2)
 
     def backward(self, params, grad, delta):
         b, c, h, w = self.shape
         p = self.padding
-        out = np.zeros((b, c, h + 2 * p, w + 2 * p), delta.dtype)
-        for n, (rows, cols) in enumerate(_places(self.k, self.stride, self.out)):
-            out[:, :, rows, cols] += np.where(self.best == n, delta, 0)
-        return out[:, :, p : p + h, p : p + w]
+        out = np.zeros((c, h + 2 * p, w + 2 * p, b), delta.dtype)
+        # The last of equal maxima wins: from the back, each window's delta goes to the first that has it.
+        left = _inside_out(delta).copy()
+        for rows, cols in reversed(_places(self.k, self.stride, self.out)):
+            own = left * (self.image[:, rows, cols] == self.best)
+            out[:, rows, cols] += own
+            left -= own
+        return out[:, p : p + h, p : p + w].transpose(3, 0, 1, 2)
 
 
 @dataclass
@@ -184,10 +201,10 @@ class ReLUKernel(Kernel):
 
     def forward(self, params, x):
         self.positive = x > 0
-        return np.where(self.positive, x, self.slope * x).astype(x.dtype)
+        return np.where(self.positive, x, self.slope * x).astype(x.dtype, copy=False)
 
     def backward(self, params, grad, delta):
-        return np.where(self.positive, delta, self.slope * delta).astype(delta.dtype)
+        return np.where(self.positive, delta, self.slope * delta).astype(delta.dtype, copy=False) if self.slope else delta * self.positive
 
 
 @dataclass
