@@ -71,7 +71,8 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in ``spark.checkpoint.dir``; Spark's cleaner removes it with the frame."""
+    """Reliable checkpoint in ``spark.checkpoint.dir``. Its files stay there unless the session sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, which is off by default."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
@@ -86,6 +87,27 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each changed until the frame has no column of it, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def any_order(df: DataFrame):
+    """A hash of a row's columns, which decides where nothing else does. Columns with maps can't be hashed and are left out."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()])
+
+
+def reading_tasks(things: int) -> int:
+    """Tasks to read so many files or ranges: one each, and many each only where they are more than a driver can plan."""
+    return max(1, min(things, 100_000))
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

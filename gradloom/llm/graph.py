@@ -28,7 +28,8 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+    """Tells sets of edges apart: their number and two hashes, combined so that nothing can overflow."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(1), "u"))).first())
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -21,11 +21,16 @@ resolution count as rare.
    while a large group of near copies costs a star and not its square.
 4. Components again.
 
+Samples are of elements alone: the quantised weight that consistent sampling
+gives beside them (its second part) is left out, as it decides next to nothing.
+
 Defined cases: null and wordless texts have no shingle and are classes of their
 own, as is a document under five words that shares its one shingle with no
-other; ``class_id`` is the smallest id of a class, a null id counting as
+other; very long texts are sampled and compared whole, in slices and blocks of
+their own; ``class_id`` is the smallest id of a class, a null id counting as
 larger than any other; rows that repeat an id belong to the class of their own
-text; an empty table gives no rows; other columns are ignored.
+text; an empty table gives no rows; other columns are ignored or passed on,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -36,10 +41,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, raw_bytes, shared_dir, shingles, slices, span_hashes, stored, text_or_empty, words
+from .common import any_order, fresh, mixed, raw_bytes, shared_dir, shingles, slices, span_hashes, stored, text_or_empty, words
 from .graph import components
 
 #: Words of a shingle, and the least similarity of a link.
@@ -53,8 +58,8 @@ SMOOTH, RARE = 0.2, 0.005
 SKETCH_ROWS, SKETCH_WIDTH, CHUNK = 3, 1 << 16, 1024
 #: Tasks whose sketches are added first.
 TEAM = 64
-#: Nodes of one block in the comparison of mixed buckets.
-BLOCK = 768
+#: Nodes, and bytes of text, of one block in the comparison of mixed buckets.
+BLOCK, BLOCK_BYTES = 768, 16 << 20
 
 _SALTS = mixed(np.arange(1, SAMPLES + SKETCH_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -195,8 +200,9 @@ def band_keys(sampled: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shares: Broadcast, id_col: str) -> DataFrame:
-    """(id, node, bands array<long>) of every row; bands is null without a shingle."""
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty().alias("text")).withColumn("node", node_of(F.col("text")))
+    """(id, node, text_hash, bands array<long>, size) of every row; bands is empty without a shingle, size is the text's bytes."""
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty().alias("text"))
+    rows = rows.withColumns({"node": node_of(F.col("text")), "text_hash": F.xxhash64("text"), "size": F.octet_length("text").cast("long")})
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +213,10 @@ def signatures(docs: DataFrame, shares: Broadcast, id_col: str) -> DataFrame:
                 counts = np.zeros(part.num_rows + 1, np.int32)
                 counts[have + 1] = BANDS
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(band_keys(sampled).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("node"), lists], names=["id", "node", "bands"])
+                names = ["id", "node", "text_hash", "size"]
+                yield pa.RecordBatch.from_arrays([*map(part.column, names), lists], names=[*names, "bands"])
 
-    return rows.mapInArrow(run, f"id {kind}, node long, bands array<long>")
+    return rows.mapInArrow(run, f"id {kind}, node long, text_hash long, size long, bands array<long>")
 
 
 def similarities(a: pa.Array, b: pa.Array, shares: np.ndarray) -> np.ndarray:
@@ -295,36 +302,38 @@ def _block_groups(shares: Broadcast, least: float):
     return run
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", least: float = SIMILAR) -> DataFrame:
-    """One row per document: id, class_id, kept (whether it has the class's smallest id), node (hash of its words)."""
+def _classified(docs: DataFrame, id_col: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """((id, node, root, class_id) of documents with a shingle, (id, node) of those without)."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
     shares = spark.sparkContext.broadcast(document_shares(docs))
     sigs = stored(signatures(docs, shares, id_col), f"{folder}/signatures")
     have = sigs.filter(F.size("bands") > 0)
-    # min skips nulls; a node all of whose ids are null keeps a null.
-    nodes = have.groupBy("node").agg(F.min("id").alias("least_id"), F.first("bands").alias("bands"))
-    nodes = stored(nodes, f"{folder}/nodes")
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stored(members.join(buckets, "bucket"), f"{folder}/members")
+    # The first row of a node: smallest id, null last.
+    row = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("row")
+    nodes = have.groupBy("node").agg(row, F.first("bands").alias("bands"), F.max("size").alias("size"))
+    nodes = stored(nodes.select("node", F.col("row.id").alias("least_id"), F.col("row.text_hash").alias("text_hash"), "bands", "size"), f"{folder}/nodes")
+    members = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).filter("n > 1")
+    members = stored(members.drop("size").join(buckets, "bucket"), f"{folder}/members")
     pairs = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
 
-    needed = members.select("node").distinct().join(nodes.select("node", "least_id"), "node")
+    needed = members.select("node").distinct().join(nodes.select("node", "least_id", "text_hash"), "node")
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty().alias("text"))
-    # By id, which no group shares; the hash of the words tells apart rows that repeat an id.
-    texts = texts.join(needed, F.col("id").eqNullSafe(F.col("least_id"))).filter(node_of(F.col("text")) == F.col("node")).select("node", "text")
-    texts = stored(texts.dropDuplicates(["node"]), f"{folder}/texts")
+    # By id and text, which only rows that repeat both share; null ids alone would meet each other.
+    same = F.col("id").eqNullSafe(F.col("least_id")) & (F.xxhash64("text") == F.col("text_hash"))
+    texts = stored(texts.join(needed, same).select("node", "text").dropDuplicates(["node"]), f"{folder}/texts")
     text_of = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
     links = pairs.join(text_of("b"), "b").join(text_of("a"), "a").mapInArrow(_verified(shares, least), "a long, b long")
     labels = components(stored(links, f"{folder}/links"))
 
     # Buckets that hold several components; of buckets with the same nodes one is enough, and two nodes have been compared.
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = stored(labelled.filter("n > 2").select("bucket", "node", "label", "n"), f"{folder}/labelled")
-    several = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("mark"), F.first("n").alias("n")).filter("lo <> hi")
-    several = several.groupBy("mark", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    labelled = stored(labelled.filter("n > 2").select("bucket", "node", "label", "n", "bytes"), f"{folder}/labelled")
+    marks = [F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("two")]
+    several = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *marks, F.first("n").alias("n")).filter("lo <> hi")
+    several = several.groupBy("one", "two", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rows = labelled.join(several, "bucket").withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     rows = rows.select("bucket", "node", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -333,16 +342,33 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", least: float = SIMILAR
 
     final = nodes.select("node", "least_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     final = final.join(joined.toDF("label", "root"), "label", "left").withColumn("root", F.coalesce("root", "label"))
+    # min skips nulls; a class all of whose ids are null keeps a null.
     ids = final.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    final = stored(final.join(ids, "root").select("node", "class_id"), f"{folder}/classes")
-    lone = sigs.filter(F.size("bands") == 0).select("id", F.col("id").alias("class_id"), "node")
-    out = have.select("id", "node").join(final, "node").select("id", "class_id", "node").unionByName(lone)
+    final = stored(final.join(ids, "root").select("node", "root", "class_id"), f"{folder}/classes")
+    return have.select("id", "node").join(final, "node").select("id", "node", "root", "class_id"), sigs.filter(F.size("bands") == 0).select("id", "node")
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", least: float = SIMILAR) -> DataFrame:
+    """One row per document: id, class_id, kept (whether it has the class's smallest id), node (hash of its words)."""
+    classed, lone = _classified(docs, id_col, least)
+    out = classed.select("id", "class_id", "node").unionByName(lone.withColumn("class_id", F.col("id")))
     return out.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "node")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", least: float = SIMILAR) -> DataFrame:
-    """The documents that stay, with all their columns: of each class the one with the smallest id."""
-    kept = near_classes(docs, id_col, least).filter("kept").select(F.col(id_col).alias("_id"), F.col("node").alias("_node")).distinct()
-    rows = docs.withColumn("_own", node_of(text_or_empty()))
-    out = rows.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_node")), "left_semi")
-    return out.dropDuplicates([id_col, "_own"]).drop("_own")
+    """The documents that stay, with all their columns: of each class the one with the smallest id (null last); of rows
+    that share it the one of the smallest node, then of the smallest text. Wordless documents all stay."""
+    classed, lone = _classified(docs, id_col, least)
+    best = classed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("w"))
+    kept = best.select("w.id", "w.node").unionByName(lone).distinct()
+    names = ("own_id", "no_id", "own_node", "apart", "their_id", "no_other", "their_node", "place")
+    own_id, no_id, own_node, apart, their_id, no_other, their_node, place = fresh(docs, *names)
+    text_of = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    kept = kept.select(text_of(F.col("id")).alias(their_id), F.col("id").isNull().alias(no_other), F.col("node").alias(their_node))
+    rows = docs.withColumns({own_id: text_of(F.col(id_col)), no_id: F.col(id_col).isNull(), own_node: node_of(text_or_empty())})
+    rows = rows.withColumn(apart, F.when(F.col(own_node) == node_of(F.lit("")), F.monotonically_increasing_id()))
+    same = (F.col(own_id) == F.col(their_id)) & (F.col(no_id) == F.col(no_other)) & (F.col(own_node) == F.col(their_node))
+    # The window needs no other partitioning than the join's.
+    first = Window.partitionBy(own_id, no_id, own_node, apart).orderBy("text", any_order(docs))
+    out = rows.join(kept.hint("merge"), same, "left_semi").withColumn(place, F.row_number().over(first))
+    return out.filter(F.col(place) == 1).drop(own_id, no_id, own_node, apart, place)

@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from gradloom.llm.common import Memory, distinct, raw_bytes, shingles, slices, span_hashes, sums_by_text, words
+from gradloom.llm.common import Memory, any_order, distinct, fresh, raw_bytes, shingles, slices, span_hashes, sums_by_text, words
 
 TEXTS = ["ab cd ab", "", None, "  ab\x0bcd ", "é ab", "one two three four five six"]
 
@@ -56,3 +56,9 @@ def test_memory_keeps_what_is_used():
     m.put("d", 4)
     m.put("e", 5)
     assert m.get("a") == 1 and m.get("b") is None
+
+
+def test_fresh_names(spark):
+    df = spark.createDataFrame([(1, {"a": 1})], "ID int, id_ map<string,int>")
+    assert fresh(df, "id", "id", "x") == ["id__", "id___", "x"]
+    assert df.select(any_order(df)).first()[0] is not None
