@@ -9,10 +9,11 @@ settled where they lie. All other digests are grouped and joined by an ordinary
 shuffle, in which no key is hot.
 
 Defined cases: a null text counts as empty, and all empty or all-white texts
-are one group; a null id sorts after every other id when rows tie, and rows
-that share id and text length all carry the same ``keep_id`` while exactly the
-rows with that id are kept; an empty table gives no rows; columns of the input
-other than id and text are ignored, whatever their names.
+are one group; very long texts are digested whole; a null id sorts after every
+other id when rows tie, and rows that share id and text length all carry the
+same ``keep_id`` while exactly the rows with that id are kept (of which
+``keep_first_copies`` lets one through); an empty table gives no rows; columns of
+the input other than id and text are ignored or passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpointed, text_or_empty
+from .common import SPACE, any_order, checkpointed, fresh, text_or_empty
 
 #: Counters of a Misra-Gries summary; also the most rows that are broadcast.
 COUNTERS = 512
@@ -124,9 +125,19 @@ def _heavy(rows: DataFrame, counters: int) -> DataFrame:
     return checkpointed(exact.filter(F.col("group_size") * (counters + 1) > F.lit(total)))
 
 
-def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; rows that repeat both id and text come through once."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = docs.withColumn("_own", F.sha2(normalised(text_or_empty(text_col)).cast("binary"), 256))
-    out = rows.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
-    return out.dropDuplicates([id_col, "_own"]).drop("_own")
+def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
+    """The documents that stay, one of each group of equal texts, with all their columns: most code points, then the
+    smallest id (null last), then the smallest text, then any order that is the same on every run.
+
+    Rows of frequent digests that can't win go where they lie; of the others the first of each digest in a task travels on.
+    """
+    heavy = _heavy(checkpointed(digests(docs, id_col, text_col)), counters)
+    own, n, hot, w, place = fresh(docs, "digest", "code_points", "hot", "winner", "place")
+    text = text_or_empty(text_col)
+    rows = docs.withColumns({own: F.sha2(normalised(text).cast("binary"), 256), n: F.length(text).cast("long")})
+    # At most `counters` rows: a proven bound.
+    known = F.broadcast(heavy.select(F.col("digest").alias(hot), F.col("w").alias(w)))
+    wins = F.col(id_col).eqNullSafe(F.col(f"{w}.id")) & (F.col(n) == -F.col(f"{w}.minus_n"))
+    rows = rows.join(known, F.col(own) == F.col(hot), "left").filter(F.col(hot).isNull() | wins).drop(hot, w)
+    first = Window.partitionBy(own).orderBy(F.desc(n), F.asc_nulls_last(id_col), text_col, any_order(docs))
+    return rows.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).drop(own, n, place)

@@ -53,6 +53,29 @@ def test_kept_rows(documents):
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(2, "ab "), (4, "c")]
 
 
+def test_names_may_clash_with_any_inner_one(documents):
+    names = dict.fromkeys(("_id", "_own", "_sha", "digest", "code_points", "hot", "winner", "place", "w", "DIGEST_"), "x")
+    kept = exactdup.keep_first_copies(documents(["a b", "ab", None, ""], **names))
+    assert kept.columns[5:] == list(names)
+    assert sorted((r["doc_id"], r["_id"], r["_own"]) for r in kept.collect()) == [(0, "x", "x"), (2, "x", "x")]
+
+
+def test_of_rows_that_share_an_id_the_longest_stays(documents):
+    # Four rows with one id, in both orders, whether their digest is frequent or not.
+    for texts in (["abcd", " a b c d", "ab cd", "a b c d "], ["a b c d ", "ab cd", " a b c d", "abcd"]):
+        for counters in (1, 512):
+            kept = exactdup.keep_first_copies(documents(texts, ids=[7] * 4).repartition(3), counters=counters).collect()
+            assert [(r["doc_id"], r["text"]) for r in kept] == [(7, " a b c d")]
+    kept = exactdup.keep_first_copies(documents(["a", "a", "a", "b"], ids=[None, None, 3, None])).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("3", "a"), ("None", "b")]
+
+
+def test_kept_rows_of_frequent_and_awkward_texts(documents):
+    texts = ["hot  text", "hot text", "hottext"] * 40 + [f"t{k % 30}" for k in range(60)] + AWKWARD
+    kept = exactdup.keep_first_copies(documents(texts).repartition(5), counters=4).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted({r[1] for r in brute(list(enumerate(texts)))})
+
+
 def test_empty_table(documents):
     assert exactdup.exact_dedup(documents([])).count() == 0
     assert exactdup.keep_first_copies(documents([])).count() == 0
