@@ -18,8 +18,9 @@ packed and written, whatever the size of the partition.
 
 Defined cases: documents without tokens (null or empty text) have no segment
 and come back with zero tokens; null ids and repeated rows are packed like any
-other, told apart by their place in the block; an empty table writes empty
-shards.
+other, told apart by their place in the block; very long texts are encoded whole
+and split over rows; an empty table writes empty shards; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import shared_dir, slices, stored
+from .common import reading_tasks, shared_dir, slices, stored
 from .warc import _filesystem
 
 #: Tokens of a row, and tokens that are packed together.
@@ -138,6 +139,11 @@ class Block:
         at = np.arange(len(self.segments)) + row
         return self.lengths_by_row[at + 1] - self.lengths_by_row[at]
 
+    def starts(self) -> np.ndarray:
+        """The flat place of each segment, by the cumulative lengths."""
+        row = np.repeat(np.arange(len(self.counts)), self.counts)
+        return row * self.ids.shape[1] + self.lengths_by_row[np.arange(len(self.segments)) + row]
+
     def document_ids(self) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents end to end in order of document and part, n+1 offsets)."""
         lengths = self.lengths()
@@ -228,9 +234,12 @@ def write(docs: DataFrame, path: str, folder: str | None = None, row: int = ROW_
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """Read the shards back: (file, block, place, n_tokens, n_segments, ids_sha256) of every document, its ids put together
-    again from the matrices; the hash is over little-endian 32-bit ids."""
+    """Read the shards back: (file, block, place, n_tokens, n_segments, ids_sha256, resets_ok) of every document, its ids put
+    together again from the matrices; the hash is over little-endian 32-bit ids; resets_ok says whether the position resets
+    of all its segments stand where the cumulative lengths of their rows do."""
     shards = manifest.select("folder", "file").distinct()
+    # A shard is a small row that stands for many bytes: the number of tasks is given, so that nothing joins shards.
+    shards = shards.repartition(reading_tasks(shards.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,17 +252,20 @@ def read(manifest: DataFrame) -> DataFrame:
                         body, n = flat.astype("<u4").tobytes(), block.documents
                         hashes = [hashlib.sha256(body[4 * a : 4 * b]).hexdigest() for a, b in zip(offsets.tolist(), offsets[1:].tolist())]  # noqa: B905
                         parts = np.bincount(block.segments[:, 0], minlength=n)
+                        wrong = np.bincount(block.segments[:, 0], block.resets != block.starts(), n) > 0
                         columns = [np.full(n, k, np.int32), np.arange(n, dtype=np.int32), np.diff(offsets), parts.astype(np.int64)]
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), *map(pa.array, columns), pa.array(hashes)], names=["file", "block", "place", "n_tokens", "n_segments", "ids_sha256"])
+                        names = ["file", "block", "place", "n_tokens", "n_segments", "ids_sha256", "resets_ok"]
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), *map(pa.array, columns), pa.array(hashes), pa.array(~wrong)], names=names)
                         k += 1
 
-    return shards.mapInArrow(run, "file string, block int, place int, n_tokens long, n_segments long, ids_sha256 string")
+    return shards.mapInArrow(run, "file string, block int, place int, n_tokens long, n_segments long, ids_sha256 string, resets_ok boolean")
 
 
 def round_trip(docs: DataFrame, path: str, row: int = ROW_TOKENS, id_col: str = "doc_id") -> DataFrame:
-    """Pack, write, read back; one row per document: id, n_tokens, n_segments, ids_sha256, file, block, place."""
+    """Pack, write, read back; one row per document: id, n_tokens, n_segments, ids_sha256, resets_ok. Where a document lies
+    follows from the partitioning and the task attempt and is left to the manifest."""
     manifest = write(docs, path, row=row, id_col=id_col)
     found = read(manifest).drop("n_tokens")
     # The planner takes the documents read back for as few rows as there are shards; the hint keeps it from broadcasting them.
     out = manifest.drop("folder").join(found.hint("merge"), ["file", "block", "place"])
-    return out.select(F.col("id").alias(id_col), "n_tokens", "n_segments", "ids_sha256", "file", "block", "place")
+    return out.select(F.col("id").alias(id_col), "n_tokens", "n_segments", "ids_sha256", "resets_ok")

@@ -3,9 +3,9 @@
 Writing: every page becomes one record in its own gzip member. Of pages with
 equal payloads (by SHA-1 and length) the one with the largest id is a
 ``response``; the others are ``revisit`` records that carry only the HTTP
-header and refer to it. Each task writes one archive, first under a name of its
-own attempt, and renames it when complete, so that a retried or speculative
-task replaces it whole.
+header and refer to it. Each task attempt writes one archive under a name of
+its own, which counts only through the manifest, so that a retried or
+speculative task can't mix with the first.
 
 Reading: archives are cut into byte ranges, one task each. A task looks for the
 gzip magic in its range, takes a position as a record if the member there
@@ -21,8 +21,9 @@ Defined cases: null html is an empty payload; null urls give an empty target;
 control characters in urls are percent-encoded; small payloads (below
 ``least_bytes``) are always responses; a null id is smaller than any other
 when a response is chosen; rows that repeat the id and payload of a response
-are responses as well; an empty table writes empty archives and reads no rows;
-other columns are ignored.
+are responses as well; very long payloads are written and read whole, one at a
+time; an empty table writes empty archives and reads no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import reading_tasks, shared_dir, stored
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of an archive that one reading task owns.
@@ -112,10 +113,9 @@ def write(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
         fs.create_dir(root, recursive=True)
-        part = TaskContext.get().partitionId()
-        name, draft = f"{root}/part-{part:06d}.warc.gz", f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
+        name = f"{root}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         total = n = 0
-        with fs.open_output_stream(draft) as out:
+        with fs.open_output_stream(name, compression=None) as out:
             for batch in batches:
                 columns = [batch.column(c) for c in ("id", "url", "payload", "size", "revisit", "refers_to")]
                 for k in range(batch.num_rows):
@@ -123,7 +123,6 @@ def write(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
                     member = record(page, url, payload, base32_sha1(payload), size, refers, revisit)
                     out.write(member)
                     total, n = total + len(member), n + 1
-        fs.move(draft, name)
         yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{os.path.basename(name)}"], "bytes": [total], "records": [n]})
 
     manifest = deduplicated(pages, **columns).mapInArrow(run, "path string, bytes long, records long")
@@ -210,8 +209,9 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """
     last = F.greatest(F.ceil(F.col("bytes") / split_bytes) - 1, F.lit(0))
     ranges = files.filter("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
-    # A key of its own for each range deals the ranges out evenly.
-    ranges = ranges.repartition(F.xxhash64("path", "k"))
+    # Ranges are small rows that stand for many bytes: their number of tasks is given, so that nothing joins them.
+    n = files.filter("bytes > 0").agg(F.sum(last + 1)).first()[0] or 0
+    ranges = ranges.repartition(reading_tasks(int(n)))
     schema = "path string, offset long, record_type string, target_uri string, record_id string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,6 +73,22 @@ def test_rows_come_back(documents):
     assert got == sorted((str(k), len(x), -(-len(x) // 64), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()) for k, x in zip(keys, ids, strict=True))
 
 
+def test_every_shard_is_read_by_a_task_of_its_own_and_runs_agree(documents):
+    docs = documents([f"some words of text {k} " * (k % 9) for k in range(120)]).repartition(6)
+    manifest = packing.write(docs, PATH, row=32)
+    assert packing.read(manifest).rdd.getNumPartitions() == 6
+    one, two = (sorted(map(tuple, packing.round_trip(docs, PATH, row=32).collect())) for _ in range(2))
+    assert one == two and all(r[-1] for r in one)
+
+
+def test_wrong_resets_are_seen():
+    body, _ = packing.to_bytes(np.arange(50).astype("<u2"), np.array([0, 20, 50]), 16, "<u2")
+    block = packing.read_block(io.BytesIO(body))
+    assert (block.resets == block.starts()).all()
+    block.resets[1] += 1
+    assert (block.resets == block.starts()).sum() == len(block.resets) - 1
+
+
 def test_empty_table(documents):
     assert packing.round_trip(documents([]), PATH).count() == 0
 

@@ -83,3 +83,26 @@ def test_long_headers_are_read(spark):
     rows = [(1, "http://a", "<p>x"), (2, "data:," + "".join(f"{k:07d}" for k in range(14_300)), "<p>y"), (3, "data:," + "\x01" * 40_000, "<p>x"), (4, "http://b", "<p>z")]
     got = warc.round_trip(pages(spark, rows).coalesce(1)).collect()
     assert sorted(map(tuple, got), key=str) == expected(rows)
+
+
+def test_every_range_is_read_by_a_task_of_its_own(spark):
+    rows = [(k, f"http://a/{k}", "".join(f"{x:05x}" for x in range(k * 100, k * 100 + 400))) for k in range(60)]
+    files = warc.write(pages(spark, rows).repartition(3))
+    ranges = sum(-(-r["bytes"] // 2000) for r in files.collect())
+    back = warc.read(files, 2000)
+    assert back.rdd.getNumPartitions() == ranges > 20
+    assert sorted(r["record_id"] for r in back.select("record_id").collect()) == sorted(warc.record_urn(k) for k in range(60))
+
+
+def test_a_repeated_write_replaces_nothing(spark, tmp_path):
+    folder = f"file://{tmp_path}/w"
+    one = warc.write(pages(spark, ROWS), folder)
+    paths = {r["path"] for r in one.collect()}
+    two = warc.write(pages(spark, ROWS[:2]), folder)
+    assert not paths & {r["path"] for r in two.collect()} and warc.read(two).count() == 2
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a", "x", "p", 5, "q"), (2, "b", "x", "p", 5, "q")]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, id string, size int, best string").selectExpr("*", "'z' AS sha1", "1 AS revisit", "2 AS refers_to", "3 AS n")
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.round_trip(docs).collect()) == [(1, "revisit", 2), (2, "response", None)]
