@@ -3,98 +3,107 @@
 The words of each source, document after document, are cut into blocks of a
 fixed length. Targets decide how many block slots a source gets; a source's
 slots run through pseudorandom permutations of its block numbers, one an epoch,
-so that every block is taken equally often up to one. Output shards draw their
-source counts at random: multinomial counts, conditioned on the totals of the
-whole mix (a multivariate hypergeometric draw), split along a binary tree of
-shards with a seed at every node. Any shard can so find its counts and its
-place in each source's slots by itself. Slots then meet blocks by a join on
-(source, block).
-
-Defined cases: a null text has no words and is never taken; a null source is a
-source of its own, after all others; null ids share one bucket of the layout;
-rows that repeat an id are laid out apart; an empty table gives no rows; other
-columns are left alone. Results follow from the rows and the seed, not from
-how they are partitioned.
+so that every block is taken equally often up to one. How many slots of a source
+each output shard gets is a multinomial draw over the shards, so that every
+source meets its quota whatever the draw; a source of many slots draws along a
+binary tree of shard ranges with a seed at every node, so that its parts are
+drawn side by side. Slots then meet blocks by a join on (source, block).
+
+Sources are a table, however many there are: their order, targets and slots are
+columns of it, and the driver holds sums alone.
+
+Defined cases: a null text has no words and is never taken; very long texts are
+laid out over as many blocks as they need; a null source is a source of its own,
+after all others; rows that repeat an id are laid out apart, and equal rows
+are interchangeable; an empty table gives no rows; other columns are passed on,
+whatever their names. Results follow from the rows and the seed, not from how
+they are partitioned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mixed, raw_bytes, text_or_empty, words
+from .common import any_order, checkpointed, fresh, mixed, raw_bytes, text_or_empty, words
 
 #: Fixed value: a word.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words of a block, and blocks of an output shard.
+#: Words of a block, and blocks of an output shard on average.
 BLOCK_WORDS, SHARD_SLOTS = 128, 8192
 #: Weights by place in the order of sources, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A source is taken at most so often.
 MOST_EPOCHS = 3
-#: The plan holds one entry a source on the driver; more are refused.
-MOST_SOURCES = 100_000
 #: Rows that a bucket of the layout has on average.
 BUCKET_ROWS = 1000
+#: Slots of a source that one row of the draw stands for, about.
+PART_SLOTS = 1 << 17
+#: Sources and bytes of their names up to which the plan is broadcast; beyond, it is dealt out by source and salt.
+BROADCAST_SOURCES, BROADCAST_BYTES, SALTS = 20_000, 4 << 20, 16
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Sources in order with their sizes, targets, blocks and slots."""
+    """``sources``: (source, source_no, source_size, target, blocks, slots), and what the driver knows of them."""
 
-    names: tuple[str | None, ...]
-    sizes: tuple[int, ...]
-    targets: tuple[float, ...]
-    blocks: tuple[int, ...]
-    slots: tuple[int, ...]
+    sources: DataFrame
+    count: int
+    name_bytes: int
+    shards: int
     seed: int
     block_words: int
 
-    @property
-    def shards(self) -> int:
-        return -(-sum(self.slots) // SHARD_SLOTS)
 
+def in_order(totals: DataFrame) -> DataFrame:
+    """Adds source_no, from 0 by code point, null last. Sorted in ranges side by side; counts of ranges give the rest."""
+    rows = totals.orderBy(F.col("source").isNull(), "source").withColumn("_at", F.monotonically_increasing_id())
+    rows = checkpointed(rows).withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row a task of the sort.
+    before = F.broadcast(counts.select("_range", before.alias("_before")))
+    return rows.join(before, "_range").withColumn("source_no", F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
 
-def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, most: float = MOST_EPOCHS) -> list[float]:
-    """Shares of the total by weight; what exceeds a source's limit is shared again among the others by weight."""
-    w = [weights[k % len(weights)] for k in range(len(sizes))]
-    out = [0.0] * len(sizes)
-    free, left = set(range(len(sizes))), float(sum(sizes))
+
+def with_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    """Adds target: shares of the total by weight; what exceeds a source's limit is shared again among the others by weight.
+
+    Each round is a sum over the sources that are below their limit at the share of the round before.
+    """
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("source_no") % len(weights) + 1).cast("int"))
+    rows = sources.withColumns({"_w": w, "_most": F.col("source_size") * most})
+    total, weight = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("double"), F.coalesce(F.sum("_w"), F.lit(0.0))).first()
+    left, free = total, weight
     while free:
-        total = sum(w[k] for k in free)
-        share = {k: left * w[k] / total for k in free}
-        over = [k for k in sorted(free) if share[k] > most * sizes[k]]
-        if not over:
-            for k in free:
-                out[k] = share[k]
+        over = F.lit(left) * F.col("_w") / F.lit(free) > F.col("_most")
+        capped, open_ = rows.agg(F.coalesce(F.sum(F.when(over, F.col("_most"))), F.lit(0)).cast("double"), F.coalesce(F.sum(F.when(~over, F.col("_w"))), F.lit(0.0))).first()
+        if open_ == free or not open_:
             break
-        for k in over:
-            out[k] = float(most * sizes[k])
-            left -= out[k]
-            free.discard(k)
-    return out
+        left, free = total - capped, open_
+    share = F.lit(left) * F.col("_w") / F.lit(free or 1.0)
+    return rows.withColumn("target", F.when(share > F.col("_most"), F.col("_most").cast("double")).otherwise(share)).drop("_w", "_most")
+
 
+def with_slots(sources: DataFrame, block_words: int = BLOCK_WORDS, most: int = MOST_EPOCHS) -> DataFrame:
+    """Adds blocks and slots: whole epochs, and blocks of one more for the rest of the target."""
+    size, n = F.col("source_size"), F.ceil(F.col("source_size") / block_words)
+    epochs = F.least(F.floor(F.col("target") / size + 1e-9), F.lit(most))
+    rest = F.least(n, F.rint((F.col("target") - epochs * size) / F.least(F.lit(block_words), size)).cast("long"))
+    slots = F.when(size == 0, 0).otherwise(epochs * n + F.when(epochs < most, rest).otherwise(0))
+    return sources.withColumns({"blocks": n.cast("long"), "slots": slots.cast("long")})
 
-def plan(totals: list[tuple[str | None, int]], seed: int = 0, weights: tuple[float, ...] = WEIGHTS, block_words: int = BLOCK_WORDS) -> Plan:
-    ordered = sorted(totals, key=lambda x: (x[0] is None, x[0] or ""))
-    sizes = [n for _, n in ordered]
-    goal = targets(sizes, weights)
-    blocks = [-(-n // block_words) for n in sizes]
-    slots = []
-    for size, want, n in zip(sizes, goal, blocks, strict=True):
-        if not size:
-            slots.append(0)
-            continue
-        epochs = min(int(want / size + 1e-9), MOST_EPOCHS)
-        rest = 0 if epochs == MOST_EPOCHS else min(n, round((want - epochs * size) / min(block_words, size)))
-        slots.append(epochs * n + rest)
-    return Plan(tuple(x for x, _ in ordered), tuple(sizes), tuple(goal), tuple(blocks), tuple(slots), seed, block_words)
+
+def plan(totals: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, block_words: int = BLOCK_WORDS) -> Plan:
+    """The plan for (source, source_size)."""
+    sources = checkpointed(with_slots(with_targets(checkpointed(in_order(totals)), weights), block_words))
+    n, names, slots = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("source")), F.lit(0)), F.coalesce(F.sum("slots"), F.lit(0))).first()
+    return Plan(sources, n, names, max(1, -(-slots // SHARD_SLOTS)), seed, block_words)
 
 
 def permuted(at: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -115,77 +124,59 @@ def permuted(at: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _half(counts: np.ndarray, take: int, seed: tuple[int, ...]) -> np.ndarray:
-    """How many of each kind are among ``take`` drawn from all without replacement."""
-    rng, total = np.random.default_rng(seed), int(counts.sum())
-    if total < 1_000_000_000:
-        return rng.multivariate_hypergeometric(counts, take, method="marginals")
-    out, left, need = np.zeros(len(counts), np.int64), total, take
-    for k, c in enumerate(counts.tolist()):
-        # Beyond the generator's range the counts are normal for all purposes; bounds keep them exact in sum.
-        mean = need * c / left if left else 0.0
-        spread = (mean * (1 - c / left) * (left - need) / max(left - 1, 1)) ** 0.5 if left else 0.0
-        out[k] = min(max(round(rng.normal(mean, spread)), need - (left - c), 0), c, need)
-        left, need = left - c, need - int(out[k])
-    return out
-
-
-class Shards:
-    """Source counts of output shards, from the tree of draws."""
-
-    def __init__(self, p: Plan):
-        self.plan, self.total = p, sum(p.slots)
-    def _slots(self, a: int, b: int) -> int:
-        return min(b * SHARD_SLOTS, self.total) - min(a * SHARD_SLOTS, self.total)
-
-    def counts(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
-        a, b = 0, self.plan.shards
-        counts, before = np.array(self.plan.slots, np.int64), np.zeros(len(self.plan.slots), np.int64)
-        while b - a > 1:
-            mid = (a + b) // 2
-            left = self._left(a, b, tuple(counts.tolist()))
-            if shard < mid:
-                b, counts = mid, left
-            else:
-                a, before, counts = mid, before + left, counts - left
-        return counts, before
-
-    @lru_cache(4096)  # noqa: B019
-    def _left(self, a: int, b: int, counts: tuple[int, ...]) -> np.ndarray:
-        return _half(np.array(counts, np.int64), self._slots(a, (a + b) // 2), (self.plan.seed, a, b))
-
-    def slots(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
-        """(source, block) of every slot of a shard, in an order of its own."""
-        counts, before = self.counts(shard)
-        sources, blocks = [], []
-        for k, (n, start) in enumerate(zip(counts.tolist(), before.tolist(), strict=True)):
-            if n:
-                j, size = np.arange(start, start + n), self.plan.blocks[k]
-                out = np.empty(n, np.int64)
-                for epoch in range(start // size, (start + n - 1) // size + 1):
-                    own = j // size == epoch
-                    key = self.plan.seed * 1_000_003 + k * 4 + epoch
-                    out[own] = permuted(j[own] % size, size, key)
-                sources.append(np.full(n, k, np.int32))
-                blocks.append(out)
-        order = np.random.default_rng((self.plan.seed, 1, shard)).permutation(int(counts.sum()))
-        return np.concatenate(sources)[order], np.concatenate(blocks)[order]
-
-
-def slots(spark, p: Plan) -> DataFrame:
-    """(shard, slot, source_no, block): the mix, slot by slot."""
-    n = p.shards
-    parts = max(1, min(n, max(spark.sparkContext.defaultParallelism, n // 64)))
+def part_of(slots: int, shards: int, parts: int, part: int, seed: tuple[int, ...]) -> tuple[int, int, int, int]:
+    """(first shard, end, first slot, slots) of one of ``parts`` (a power of two) ranges of shards: slots fall to the
+    halves of a range by their numbers of shards."""
+    first, end, before, count = 0, shards, 0, slots
+    at, width = 0, parts
+    while width > 1:
+        width //= 2
+        middle = min(max(-(-(at + width) * shards // parts), first), end)
+        left = 0 if middle == first else count if middle == end else int(np.random.default_rng((*seed, at, width)).binomial(count, (middle - first) / (end - first)))
+        if part < at + width:
+            end, count = middle, left
+        else:
+            first, before, count, at = middle, before + left, count - left, at + width
+    return first, end, before, count
+
+
+def drawn_part(source: int, slots: int, blocks: int, shards: int, parts: int, part: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shard, block) of the slots of a source that fall to a range of shards: each slot to one of them, all alike likely,
+    which makes the counts by shard multinomial."""
+    first, end, before, n = part_of(slots, shards, parts, part, (seed, source))
+    shard = np.sort(np.random.default_rng((seed, source, part, parts, 1)).integers(first, end, n)) if n else np.zeros(0, np.int64)
+    j, block = np.arange(before, before + n), np.empty(n, np.int64)
+    for epoch in range(before // blocks, (before + n - 1) // blocks + 1) if n else ():
+        own = j // blocks == epoch
+        block[own] = permuted(j[own] % blocks, blocks, seed * 1_000_003 + source * 4 + epoch)
+    return shard, block
+
+
+def slots(p: Plan) -> DataFrame:
+    """(shard, place, source_no, block): the mix, slot by slot; a shard's order is that of ``place``."""
+    most = 1 << (p.shards - 1).bit_length()
+    parts = F.least(F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("slots") / PART_SLOTS, F.lit(1))))), F.lit(most)).cast("long")
+    rows = p.sources.filter("slots > 0").select("source_no", "slots", "blocks", parts.alias("parts"))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    # A row stands for many slots: the number of tasks is given, by the slots they make.
+    tasks = max(1, min(p.shards * SHARD_SLOTS // PART_SLOTS + p.count // 4096 + 1, 100_000))
+    shards, seed = p.shards, p.seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = Shards(p)
         for batch in batches:
-            for shard in batch.column(0).to_pylist():
-                source, block = shards.slots(shard)
-                columns = [pa.array(np.full(len(source), shard)), pa.array(np.arange(len(source), dtype=np.int32)), pa.array(source), pa.array(block)]
-                yield pa.RecordBatch.from_arrays(columns, names=["shard", "slot", "source_no", "block"])
+            held, out = 0, []
+            for row in batch.to_pylist():
+                shard, block = drawn_part(row["source_no"], row["slots"], row["blocks"], shards, row["parts"], row["part"], seed)
+                place = mixed(mixed(block.astype(np.uint64) + np.uint64(row["source_no"] << 40 & (2**64 - 1))) + shard.astype(np.uint64)).view(np.int64)
+                out.append((shard, place, np.full(len(shard), row["source_no"]), block))
+                held += len(shard)
+                if held >= PART_SLOTS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["shard", "place", "source_no", "block"])
+                    held, out = 0, []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["shard", "place", "source_no", "block"])
 
-    return spark.range(0, n, 1, parts).mapInArrow(run, "shard long, slot int, source_no int, block long")
+    return rows.repartition(tasks).mapInArrow(run, "shard long, place long, source_no long, block long")
 
 
 def _before(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
@@ -199,36 +190,38 @@ def _before(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
     return own.join(tops, [by, "_g"]).withColumn("before", F.col("_own") + F.col("_top")).drop("_g", "_own", "_top")
 
 
-def source_number(p: Plan, source: Column) -> Column:
-    """The place of a source in the plan, a look-up of at most MOST_SOURCES entries."""
-    known = [x for k, n in enumerate(p.names) if n is not None for x in (F.lit(n), F.lit(k))]
-    null = F.lit(p.names.index(None) if None in p.names else -1)
-    return F.coalesce(F.try_element_at(F.create_map(*known), source), null) if known else null
+def with_plan(rows: DataFrame, p: Plan) -> DataFrame:
+    """Adds source_no, source_size and target to rows (id, h, source, ..)."""
+    known = p.sources.select(F.col("source").alias("_source"), "source_no", "source_size", "target")
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    if p.count <= BROADCAST_SOURCES and p.name_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(known), same).drop("source", "_source")
+    # A source may have a third of all rows: salts deal them out.
+    known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("id", "h"), F.lit(SALTS)).cast("int"))
+    return rows.join(known.hint("merge"), same & (F.col("_own") == F.col("_salt"))).drop("source", "_source", "_own", "_salt")
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, seed: int = 0, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, Plan]:
-    """((id, h, source_no, size) of every row, the plan)."""
+    """((id, h, size, source_no, source_size, target) of every row, the plan); h is a hash of text and source."""
     rows = docs.select(
         F.col(id_col).alias("id"),
-        F.xxhash64(text_col).alias("h"),
+        F.xxhash64(text_col, F.col(source_col).cast("string")).alias("h"),
         F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
     )
     rows = checkpointed(rows)
-    totals = [(r[0], r[1]) for r in rows.groupBy("source").agg(F.sum("size")).limit(MOST_SOURCES + 1).collect()]
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    p = plan(totals, seed, weights, block_words)
-    return rows.withColumn("source_no", source_number(p, F.col("source"))).drop("source"), p
+    p = plan(rows.groupBy("source").agg(F.sum("size").alias("source_size")), seed, weights, block_words)
+    return with_plan(rows, p), p
 
 
 def placed(rows: DataFrame) -> DataFrame:
     """Adds bucket, rn and start: the words of its source before each row.
 
-    Rows fall into buckets by a hash of their id; a bucket's rows are summed in order of id, buckets in turn.
+    Rows fall into buckets by a hash of id and text; a bucket's rows are summed in order of id, buckets in turn.
     """
     n = F.lit(max(1, -(-rows.count() // BUCKET_ROWS)))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), n))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "h"), n))
     w = Window.partitionBy("source_no", "bucket").orderBy("id", "h")
     own = rows.withColumn("rn", F.row_number().over(w)).withColumn("_own", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     totals = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
@@ -246,8 +239,8 @@ def taken_pieces(rows: DataFrame, p: Plan) -> DataFrame:
     pieces = rows.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / b), last))))
     first, end = F.greatest(F.col("block") * b, F.col("start")), F.least((F.col("block") + 1) * b, F.col("start") + F.col("size"))
     pieces = pieces.withColumn("at", first - F.col("start")).withColumn("words", end - first)
-    drawn = slots(rows.sparkSession, p).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
-    # The planner takes the slots for as few rows as there are shards; the hint keeps it from broadcasting them.
+    drawn = slots(p).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
+    # The planner takes the slots for as few rows as there are parts; the hint keeps it from broadcasting them.
     return pieces.join(drawn.hint("merge"), ["source_no", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
 
@@ -255,15 +248,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row per document: id, size, source_size, target, taken."""
     rows, p = sized(docs, id_col, **options)
     pieces = taken_pieces(placed(rows), p)
-    taken = pieces.groupBy("id", "source_no", "bucket", "rn").agg(F.first("size").alias("size"), F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken"))
-    by_source = lambda values, kind: F.element_at(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), F.col("source_no") + 1)
-    return taken.select(
-        F.col("id").alias(id_col),
-        "size",
-        by_source(p.sizes, "long").alias("source_size"),
-        by_source(p.targets, "double").alias("target"),
-        "taken",
-    )
+    same = [F.first(c).alias(c) for c in ("size", "source_size", "target")]
+    taken = F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken")
+    out = pieces.groupBy("id", "source_no", "bucket", "rn").agg(*same, taken)
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 
 
 def runs_of(pieces: list[dict]) -> list[tuple[int, int]]:
@@ -287,24 +275,28 @@ def runs_of(pieces: list[dict]) -> list[tuple[int, int]]:
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", **options) -> DataFrame:
     """The mix as documents with the columns of the input: one row for every stretch of a document that is taken,
-    as often as it is taken. A stretch of the whole document has its text unchanged."""
+    as often as it is taken. A stretch of the whole document has its text unchanged. Rows that repeat id, text and
+    source have the other columns of one of them."""
     rows, p = sized(docs, id_col, text_col, source_col, **options)
     pieces = taken_pieces(placed(rows), p).filter(F.col("times") > 0)
-    key = ["id", "h", "source_no"]
     # Pieces of a row, as many as its blocks; identical rows keep theirs apart by rn.
-    own = pieces.groupBy(*key, "bucket", "rn").agg(F.first("size").alias("size"), F.collect_list(F.struct("at", "words", "times")).alias("pieces"))
-    inner = {"_mix_id": F.col(id_col), "_mix_h": F.xxhash64(text_col), "_mix_source": source_number(p, F.col(source_col).cast("string"))}
-    texts = docs.withColumns(inner).dropDuplicates(list(inner))
+    own = pieces.groupBy("id", "h", "source_no", "bucket", "rn").agg(F.first("size").alias("size"), F.collect_list(F.struct("at", "words", "times")).alias("pieces"))
     names = docs.columns
-    both = own.select(*[F.col(k).alias(f"_own_{k}") for k in key], F.col("pieces").alias("_pieces"), F.col("size").alias("_size"))
-    same = F.col("_mix_id").eqNullSafe(F.col("_own_id")) & (F.col("_mix_h") == F.col("_own_h")) & (F.col("_mix_source") == F.col("_own_source_no"))
-    joined = both.join(texts, same).select(*[F.col(f"`{c}`") for c in names], "_size", "_pieces")
+    their_id, no_id, their_h, place, own_id, no_own, own_h, size, own_pieces = fresh(docs, "id_text", "no_id", "h", "place", "own_id", "no_own", "own_h", "size", "pieces")
+    text_of = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    texts = docs.withColumns({their_id: text_of(F.col(id_col)), no_id: F.col(id_col).isNull(), their_h: F.xxhash64(text_col, F.col(source_col).cast("string"))})
+    # The join needs no other partitioning than the window's.
+    first = Window.partitionBy(their_id, no_id, their_h).orderBy(any_order(docs))
+    texts = texts.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1)
+    both = own.select(text_of(F.col("id")).alias(own_id), F.col("id").isNull().alias(no_own), F.col("h").alias(own_h), F.col("pieces").alias(own_pieces), F.col("size").alias(size))
+    same = (F.col(their_id) == F.col(own_id)) & (F.col(no_id) == F.col(no_own)) & (F.col(their_h) == F.col(own_h))
+    joined = texts.join(both.hint("merge"), same).select(*[F.col(f"`{c}`") for c in names], size, own_pieces)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_text, at = [], []
-            texts, sizes, pieces = batch.column(text_col), batch.column("_size"), batch.column("_pieces")
+            texts, sizes, pieces = batch.column(text_col), batch.column(size), batch.column(own_pieces)
             for k in range(batch.num_rows):
                 text, n = texts[k].as_py(), sizes[k].as_py()
                 cut = None
