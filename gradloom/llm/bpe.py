@@ -6,20 +6,21 @@ transition function on the eight states of a small automaton. The functions
 generated by the symbols are closed under composition (a finite monoid), so the
 state before every position comes from an associative scan over one composition
 table. A pre-token starts where the state and the symbol say so. The slices
-then go through pair merging, once per distinct slice and worker.
+then go through pair merging, side by side and once per distinct slice and
+worker.
 
 Encoded rows carry the byte offset of every token, so that decoding can give
 back any span of the text, not only the whole.
 
 Defined cases: a null text counts as empty and has no tokens; null ids and
-repeated rows pass through; long texts are processed whole; other columns of
-the input are ignored, whatever their names.
+repeated rows pass through; very long texts are processed whole, in slices of
+their own; an empty table gives no rows; other columns of the input are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
-import struct
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -28,12 +29,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memory, distinct, raw_bytes, release_memory, slices
+from .merging import PairMerger
 
 #: Distinct pre-tokens in each of the two generations that a worker remembers, about 200 bytes each.
 CACHE = 150_000
@@ -185,26 +186,28 @@ def boundaries(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Tokenizer:
-    """Ranks of byte strings; the ids of pre-tokens are remembered.
-
-    The merges of a pre-token that isn't remembered run in tiktoken's merge loop, which gets every
-    pre-token whole: its pattern matches anything.
-    """
+    """Ranks of byte strings; a pre-token that is a token has its id, the ids of others are remembered."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.vocabulary = dict(zip(ranks.values(), ranks.keys(), strict=True))
-        self.merger = tiktoken.Encoding("pre-tokens", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+        self.whole = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
+        self.merger = PairMerger(ranks)
         self.memory = Memory(CACHE)
 
-    def ids(self, piece: bytes) -> bytes:
-        """The ids of a pre-token as little-endian 32-bit integers."""
-        if (packed := self.memory.get(piece)) is None:
-            found = self.merger.encode_ordinary(piece.decode())
-            packed = struct.pack(f"<{len(found)}i", *found)
-            if len(piece) <= 256:
-                self.memory.put(piece, packed)
-        return packed
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token as little-endian 32-bit integers."""
+        whole, known = self.whole.get, self.memory.get
+        out = [whole(p) or known(p) for p in pieces]
+        new = [k for k, packed in enumerate(out) if packed is None]
+        if new:
+            found, counts = self.merger.merge([pieces[k] for k in new])
+            body, ends = found.astype("<i4").tobytes(), np.cumsum(4 * counts).tolist()
+            for k, start, end in zip(new, [0, *ends], ends):  # noqa: B905
+                out[k] = body[start:end]
+                if len(pieces[k]) <= 256:
+                    self.memory.put(pieces[k], out[k])
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts end to end, and the n+1 offsets of the texts in them."""
@@ -212,7 +215,7 @@ class Tokenizer:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         pieces, place = distinct(data, starts, np.array([len(data)]))
-        known = list(map(self.ids, pieces))
+        known = self.ids(pieces)
         sizes = np.fromiter(map(len, known), np.int64, len(known)) >> 2
         first = np.cumsum(sizes) - sizes
         before = np.concatenate([[0], np.cumsum(sizes[place])])

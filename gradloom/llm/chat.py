@@ -10,8 +10,9 @@ texts are escaped reversibly: ``<`` followed by any number of backslashes and
 Defined cases: a null text is empty, a null role is the empty role (never
 allowed by the machine, but formatted); a null turn sorts first, and rows that
 repeat a turn are ordered by role, then text, each formatted as its own turn;
-rows without conv_id form one conversation; an empty table gives no rows; other
-columns are ignored. A conversation that breaks the turn order is formatted like any other
+rows without conv_id form one conversation; very long texts are formatted whole
+(a conversation is one value of one task); an empty table gives no rows; other
+columns are ignored, whatever their names. A conversation that breaks the turn order is formatted like any other
 and marked by ``valid`` and ``first_bad_turn``.
 """
 

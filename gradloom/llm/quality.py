@@ -8,9 +8,12 @@ the next rule is sought. The list becomes an ordered ``CASE WHEN`` expression,
 so that applying it needs no Python.
 
 Defined cases: a null or empty text has no words and all statistics zero, so
-the base rule rejects it; null labels are left out of the sample; without
-labels of both kinds the list is empty and keeps what passes the base rule;
-repeated ids are kept apart as rows.
+the base rule rejects it; very long texts are read whole, in slices of their
+own; null labels and ids are left out of the sample, and of labelled rows that
+repeat an id one counts, that of the smallest features; without labels of both
+kinds the list is empty and keeps what passes the base rule; repeated ids are
+judged apart as rows; an empty table gives no rows; other columns are ignored or
+passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -292,7 +295,7 @@ def base_failed() -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = SAMPLE_ROWS) -> DataFrame:
     """(id, label, text) of about ``most`` labelled documents at most, chosen by a hash of the id."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"))
-    parts = 1_000_000
+    parts = 1 << 62
     share = int(min(1.0, most / max(known.count(), 1)) * parts)
     picked = known.filter(F.pmod(F.xxhash64("id", F.lit(41)), F.lit(parts)) < F.lit(share))
     # `most` bounds the picked rows, so they may be broadcast.
@@ -303,7 +306,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A decision list from the labelled sample. Rows that the base rule rejects anyway aren't learned from."""
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, most)
     stats = with_stats(sample, "id", "text", keep=("label",)).filter(~base_failed())
-    table = stats.select("id", "label", *[feature(k).alias(k) for k in FEATURES]).toPandas()
+    # One row a labelled id, however often it stands in the table: `most` bounds what comes to the driver.
+    table = stats.groupBy("id").agg(F.min(F.struct("label", *[feature(k).alias(k) for k in FEATURES])).alias("row")).select("id", "row.*").toPandas()
     table = table.sort_values(["id", *FEATURES], kind="stable")
     return learn({k: table[k].to_numpy() for k in FEATURES}, table["label"].to_numpy() > 0)
 

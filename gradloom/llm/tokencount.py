@@ -13,8 +13,12 @@ Pre-tokens among those strings count as one by look-up. Only the rest are
 merged, once per distinct pre-token and worker; a character outside the
 vocabulary counts its UTF-8 bytes.
 
+A model that normalises texts, adds no leading space, isn't BPE or has pieces
+defined by users is refused: its counts would follow other rules.
+
 Defined cases: null and empty texts have no tokens; null ids and repeated rows
-pass through; long texts are counted whole; other columns are ignored.
+pass through; very long texts are counted whole, in slices of their own; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -89,11 +93,53 @@ def _prefixed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.insert(data, offsets[:-1][full], np.uint8(32)), moved
 
 
+def _fields(body: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = body[at]
+            at, value, shift = at + 1, value | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(body):
+        number, kind = divmod(varint(), 8)
+        if kind == 0:
+            yield number, varint()
+            continue
+        size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+        yield number, body[at : at + size]
+        at += size
+
+
+def refuse_others(model: bytes) -> None:
+    """Raise on a model that this module can't count for. Numbers are those of the format's published fields."""
+    pieces = [dict(_fields(v)) for k, v in _fields(model) if k == 1]
+    trainer, normaliser = ({k: v for n, m in _fields(model) if n == part for k, v in _fields(m)} for part in (2, 3))
+    faults = {
+        "it isn't a BPE model": trainer.get(3, 1) != 2,
+        "it marks spaces behind words": trainer.get(24, 0),
+        "it maps characters": normaliser.get(2),
+        "it adds no leading space": not normaliser.get(3, 1),
+        "it removes spaces": normaliser.get(4, 1),
+        "it leaves spaces unmarked": not normaliser.get(5, 1),
+        "it has pieces defined by users": any(p.get(3, 1) == 4 for p in pieces),
+    }
+    if found := [text for text, fault in faults.items() if fault]:
+        raise ValueError("this model can't be counted for: " + ", ".join(found))
+
+
 @lru_cache(2)
 def counter(path: str) -> Counter:
     """A counter for a BPE .model file whose normalisation leaves texts as they are."""
     import sentencepiece
 
+    with open(path, "rb") as f:
+        refuse_others(f.read())
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     special = lambda i: sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)
     return Counter({sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not special(i)})
