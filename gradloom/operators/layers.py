@@ -7,9 +7,15 @@ shuffle above it, which the optimiser decides by their size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..kernels.layers import ConvKernel
+
 
 def long_form(df: DataFrame, row: str, values: str) -> DataFrame:
     """(row, i, value) of an array column."""
@@ -82,6 +88,27 @@ def conv2d(image: DataFrame, kernels: DataFrame, bias: DataFrame, height: int, w
     return z.join(bias.withColumnRenamed("value", "b"), "f").select("row", "f", "oy", "ox", (F.col("z") + F.col("b")).alias("value"))
 
 
+def conv2d_map(df: DataFrame, row: str, values: str, kernels: np.ndarray, bias: np.ndarray, height: int, width: int, stride: int = 1, padding: int = 0) -> DataFrame:
+    """Like ``conv2d`` over an array column with kernels (filters, channels, k, k) at hand: each batch of images goes
+    through one matrix product where it lies, without a shuffle."""
+    filters, channels, k, _ = kernels.shape
+    params = np.concatenate([kernels.ravel(), bias])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # So many images at once that their cells stay small.
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                x = part.column("values").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, channels, height, width)
+                out = ConvKernel(filters, channels, k, stride, padding).forward(params, x)
+                n, f, oy, ox = (i.ravel() for i in np.indices(out.shape))
+                columns = [part.column("row").take(pa.array(n)), *map(pa.array, (f, oy, ox)), pa.array(out.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "f", "oy", "ox", "value"])
+
+    rows = df.select(F.col(row).alias("row"), F.col(values).cast("array<double>").alias("values"))
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, f long, oy long, ox long, value double")
+
+
 def conv2d_gradients(image: DataFrame, delta: DataFrame, height: int, width: int, k: int, stride: int = 1, padding: int = 0) -> tuple[DataFrame, DataFrame]:
     """(kernels (f, c, kh, kw, value), bias (f, value)). ``delta`` is (row, f, oy, ox, value)."""
     seen = im2col(image, height, width, k, stride, padding)

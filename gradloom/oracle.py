@@ -136,6 +136,10 @@ ORACLE = {
     "softmax_backward": f"WITH {_P} SELECT vec_id, j, {_r('p * ((j + 1) / 7.0::DOUBLE - sum(p * (j + 1) / 7.0::DOUBLE) OVER (PARTITION BY vec_id))')} AS d FROM p",
     "softmax_grad": f"WITH {_P} SELECT i, j, {_r('sum(v * (p - CASE WHEN j = p.label THEN 1 ELSE 0 END))', 4)} AS g FROM p JOIN x USING (vec_id) GROUP BY i, j",
     "conv2d_pad1": f"WITH {_PIX}, {_conv(1, 1, 8)} SELECT vec_id, f, oy, ox, {_r('z')} AS z FROM conv",
+    "conv2d_join": f"WITH {_PIX}, {_conv(2, 1, 4)} SELECT vec_id, f, oy, ox, {_r('z')} AS z FROM conv",
+    "max_pool_padded": f"""WITH {_PIX}, edge AS (SELECT vec_id, r, q, v FROM pix UNION ALL SELECT vec_id, a.i - 1, b.i - 1, 0.0::DOUBLE FROM embeddings, range(10) a(i), range(10) b(i) WHERE a.i IN (0, 9) OR b.i IN (0, 9))
+        SELECT vec_id, oy, ox, {_r('max(v)')} AS m FROM edge, (SELECT oy, ox FROM range(4) a(oy), range(4) b(ox)) o WHERE r BETWEEN 2 * oy - 1 AND 2 * oy + 1 AND q BETWEEN 2 * ox - 1 AND 2 * ox + 1
+        GROUP BY vec_id, oy, ox""",
     "conv2d_gradient": f"""WITH {_PIX}, {_conv(2, 1, 4)} SELECT f, kh, kw, {_r('sum(v * z)', 4)} AS g
         FROM cover JOIN conv USING (vec_id, oy, ox) GROUP BY f, kh, kw""",
     "conv2d_input_delta": f"""WITH {_PIX}, {_conv(1, 1, 8)}, d AS (SELECT vec_id, oy + kh - 1 AS r, ox + kw - 1 AS q, sum(z * {_K}) AS d FROM conv, k3 GROUP BY 1, 2, 3)

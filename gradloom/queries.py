@@ -178,11 +178,24 @@ def softmax_grad(spark, sf_dir):
 
 
 def conv2d_pad1(spark, sf_dir):
+    f, _, kh, kw = np.indices((3, 1, 3, 3))
+    out = layers.conv2d_map(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", ((f * 5 + kh * 3 + kw) % 7 - 3) / 10.0, np.arange(3) / 10.0, 8, 8, 1, 1)
+    return out.select(F.col("row").alias("vec_id"), "f", "oy", "ox", _r(F.col("value")).alias("z"))
+
+
+def conv2d_join(spark, sf_dir):
+    """The same over images and kernels in long form, at stride 2."""
     k, b = _kernels(spark)
-    out = layers.conv2d(_images(spark, sf_dir), k, b, 8, 8, 3, 1, 1)
+    out = layers.conv2d(_images(spark, sf_dir), k, b, 8, 8, 3, 2, 1)
     return out.select(F.col("row").alias("vec_id"), *[F.col(n).cast("long").alias(n) for n in ("f", "oy", "ox")], _r(F.col("value")).alias("z"))
 
 
+def max_pool_padded(spark, sf_dir):
+    """Windows of 3 at stride 2 over a border of zeros."""
+    out = layers.max_pool(_images(spark, sf_dir), 8, 8, 3, 2, 1)
+    return out.select(F.col("row").alias("vec_id"), F.col("oy").cast("long").alias("oy"), F.col("ox").cast("long").alias("ox"), _r(F.col("value")).alias("m"))
+
+
 def conv2d_gradient(spark, sf_dir):
     k, b = _kernels(spark)
     images = _images(spark, sf_dir)
@@ -687,7 +700,7 @@ def predictions(spark, sf_dir):
 
 NAMES = (
     "partition_sizes batch_index redistribution vector_chunks shuffled_order one_hot_labels append_rows subset_rows row_slice "
-    "dense_forward dense_join dense_backward softmax softmax_backward softmax_grad conv2d_pad1 conv2d_gradient conv2d_input_delta max_pool max_pool_backward reshape_round_trip activations "
+    "dense_forward dense_join dense_backward softmax softmax_backward softmax_grad conv2d_pad1 conv2d_join max_pool_padded conv2d_gradient conv2d_input_delta max_pool max_pool_backward reshape_round_trip activations "
     "cross_entropy linreg_gradient argmax_accuracy loss_by_epoch mean_without_promoted convergence_epoch quiet_counts switch_epoch loss_admission loss_format worker_state event_union "
     "repeats_agg run_metrics newest_run interval_ema ping_stats server_choice gd_step momentum_step adam_step mean_gradient sparse_threshold sparse_runs layer_placement "
     "ring_order node_roles text_source packed_source idx_source history_source config_source first_parameters half_push sparse_push "

@@ -29,6 +29,8 @@ from .strategies import AllReduceRun, ParameterServerRun, Results, Strategy
 log = logging.getLogger("gradloom")
 
 EVENTS = "seq long, kind string, worker int, epoch int, loss double, detail string"
+#: Gradients of all workers up to which the driver adds them up itself, and values of a part beyond that.
+COLLECTED_BYTES, PART_VALUES = 64 << 20, 1 << 20
 MAX_EPOCHS, EARLY, MANUAL = "max_epochs_reached", "early_stopping", "manual_stop"
 
 
@@ -61,6 +63,31 @@ def _kernel(net: Network, shared, t: c.TrainingConfig, epochs: int, seed: int |
     return run
 
 
+def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Workers' results cut into parts of the vector, each value rounded to half precision: (part, worker, losses, body)."""
+    for batch in batches:
+        for worker, losses, grad in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            body = np.frombuffer(grad, np.float32)
+            for part, at in enumerate(range(0, len(body), size)):
+                with np.errstate(over="ignore"):
+                    half = body[at : at + size].astype("<f2").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (worker, pa.int32()), (losses, pa.list_(pa.float64())), (half, pa.binary()))], names=["part", "worker", "losses", "body"])
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """One part's mean over the workers, in their order, with the losses."""
+    table = table.sort_by("worker")
+    bodies = table.column("body").to_pylist()
+    total = np.zeros(len(bodies[0]) // 2, np.float64)
+    for body in bodies:
+        total += np.frombuffer(body, "<f2").astype(np.float32)
+    mean = (total / len(bodies)).astype(np.float32).tobytes()
+    part = table.column("part")[0].as_py()
+    # Losses come back once, with the first part.
+    workers, losses = (table.column("worker").to_pylist(), table.column("losses").to_pylist()) if not part else ([], [])
+    return pa.table({"part": pa.array([part], pa.int32()), "workers": pa.array([workers], pa.list_(pa.int32())), "losses": pa.array([losses], pa.list_(pa.list_(pa.float64()))), "body": pa.array([mean], pa.binary())})
+
+
 @dataclass
 class TrainedModel:
     """Parameters of a finished run with its history."""
@@ -141,21 +168,34 @@ class Session:
     def _event(self, kind: str, worker: int | None = None, epoch: int | None = None, loss: float | None = None, detail: str | None = None) -> None:
         self.events.append({"seq": len(self.events), "kind": kind, "worker": worker, "epoch": epoch, "loss": c.loss_to_wire(loss) if loss is not None else None, "detail": detail})
 
-    def _round(self, epochs: int, first_epoch: int) -> Results:
-        """One job: a task a worker, one row back from each."""
-        t = self.training
+    def _round(self, epochs: int, first_epoch: int) -> tuple[Results, np.ndarray | None]:
+        """One job: a task a worker, one row back from each, or, where gradients of all workers are large together, the
+        mean gradient in parts that were added up part by part."""
+        t, size = self.training, self.net.size
         shared = self.spark.sparkContext.broadcast(self.strategy.start_params())
         kernel = _kernel(self.net, shared, t, epochs, self.seed if t.shuffle else None, first_epoch)
         try:
-            rows = self.data.mapInArrow(kernel, "worker int, losses array<double>, grad binary").collect()
+            if not self.strategy.needs_mean_alone or 4 * size * self.strategy.workers <= COLLECTED_BYTES:
+                rows = self.data.mapInArrow(kernel, "worker int, losses array<double>, grad binary").collect()
+                return {r["worker"]: (list(r["losses"]), np.frombuffer(r["grad"], np.float32)) for r in rows}, None
+            parts = self.data.mapInArrow(lambda batches: _parts(kernel(batches), PART_VALUES), "part int, worker int, losses array<double>, body binary")
+            rows = parts.groupBy("part").applyInArrow(_mean, "part int, workers array<int>, losses array<array<double>>, body binary").collect()
         finally:
             shared.unpersist()
-        return {r["worker"]: (list(r["losses"]), np.frombuffer(r["grad"], np.float32)) for r in rows}
+        rows.sort(key=lambda r: r["part"])
+        nothing = np.zeros(0, np.float32)
+        return {w: (list(x), nothing) for w, x in zip(rows[0]["workers"], rows[0]["losses"], strict=True)}, np.concatenate([np.frombuffer(r["body"], np.float32) for r in rows])
 
     def wait(self) -> TrainedModel:
         if self._used:
             raise TrainingError("a session can be waited for once")
         self._used = True
+        try:
+            return self._train()
+        finally:
+            self.data.unpersist()
+
+    def _train(self) -> TrainedModel:
         t = self.training
         stopper = ConvergenceTracker(t.early_stopping.tolerance) if t.early_stopping else None
         switch = SwitchTracker() if isinstance(t.algorithm, c.StrategySwitch) else None
@@ -165,7 +205,7 @@ class Session:
                 reason = MANUAL
                 break
             epochs = min(1 + t.offline_epochs, t.max_epochs - epoch)
-            results = self._round(epochs, epoch)
+            results, mean = self._round(epochs, epoch)
             for worker in sorted(results):
                 for k, loss in enumerate(results[worker][0]):
                     if not np.isfinite(loss):
@@ -175,8 +215,11 @@ class Session:
                 history.append([results[w][0][k] for w in sorted(results)])
                 if self.on_epoch:
                     self.on_epoch(epoch + k, float(np.mean(history[-1])))
-            for e in self.strategy.finish_round(results, round_no):
-                self._event(e["kind"], e.get("worker"), epoch, None, e.get("detail"))
+            if mean is not None:
+                self.strategy.apply_mean(mean)
+            else:
+                for e in self.strategy.finish_round(results, round_no):
+                    self._event(e["kind"], e.get("worker"), epoch, None, e.get("detail"))
             epoch, round_no = epoch + epochs, round_no + 1
             worst = max(r[0][-1] for r in results.values())
             log.info("epoch %d: loss %.6g", epoch, worst)
@@ -186,7 +229,6 @@ class Session:
                 self._promote(epoch)
         reason = reason or MAX_EPOCHS
         self._event("stop", detail=reason)
-        self.data.unpersist()
         events = self.spark.createDataFrame([tuple(e.values()) for e in self.events], EVENTS)
         return TrainedModel(self.spark, self.model, t.dataset.x_size, self.strategy.params, history, events, reason, self.seed, self.switched)
 

@@ -20,8 +20,8 @@ Results = dict[int, tuple[list[float], np.ndarray]]
 class Strategy:
     """Shared state: the parameters, and what each worker's compression has left for later rounds.
 
-    Vectors live on the driver: one of the model's size a worker. Gradients are summed in worker order in
-    double precision, so that results don't depend on the order in which tasks end.
+    Vectors live on the driver: one of the model's size, and for sparse pushes one a worker. Gradients are summed in
+    worker order in double precision, so that results don't depend on the order in which tasks end.
     """
 
     params: np.ndarray
@@ -45,6 +45,16 @@ class Strategy:
             total += self.arrived(worker, results[worker][1])
         return (total / len(results)).astype(np.float32)
 
+    @property
+    def needs_mean_alone(self) -> bool:
+        """Whether a round needs no more of the gradients than their mean, each rounded to half precision: nothing is left
+        for later rounds then, and the mean may be taken where the gradients lie."""
+        return False
+
+    def apply_mean(self, grad: np.ndarray) -> None:
+        """Step with a round's mean gradient."""
+        raise NotImplementedError
+
     def finish_round(self, results: Results, round_no: int) -> list[dict]:
         """Update the parameters; returns events beside the losses."""
         raise NotImplementedError
@@ -56,8 +66,15 @@ class AllReduceRun(Strategy):
 
     optimiser: Optimiser | None = None
 
+    @property
+    def needs_mean_alone(self):
+        return self.keep_ratio is None
+
+    def apply_mean(self, grad):
+        self.optimiser.step(self.params, grad)
+
     def finish_round(self, results, round_no):
-        self.optimiser.step(self.params, self.mean(results))
+        self.apply_mean(self.mean(results))
         return []
 
 
@@ -105,9 +122,16 @@ class ParameterServerRun(Strategy):
         self.params = gather(parts, self.slots)
         self.version += 1
 
+    @property
+    def needs_mean_alone(self):
+        return self.keep_ratio is None and self.waits and self.averages
+
+    def apply_mean(self, grad):
+        self.update(grad)
+
     def finish_round(self, results, round_no):
         if self.waits and self.averages:
-            self.update(self.mean(results))
+            self.apply_mean(self.mean(results))
             return []
         events = []
         for worker in self.order(round_no, sorted(results)):

@@ -3,12 +3,13 @@ import pytest
 
 import gradloom as g
 from gradloom import config as c
+from gradloom import session
 from gradloom.kernels.training import loss_of, run_epoch
 from gradloom.operators.partitioning import partitioned
 from gradloom.plans.initial import initial_params
 from gradloom.plans.lowering import network
 from gradloom.plans.placement import contiguous
-from gradloom.session import EARLY, MANUAL, MAX_EPOCHS, TrainingError
+from gradloom.session import EARLY, MANUAL, MAX_EPOCHS, TrainingError, orchestrate
 from gradloom.sources.tables import load
 from gradloom.strategies import ParameterServerRun
 
@@ -165,3 +166,23 @@ def test_stream_control(spark, tmp_path):
     batch = spark.createDataFrame(rows, "run string, epoch long, loss double").selectExpr("run", "loss", "timestamp_seconds(epoch * 60) AS ts")
     got = running_loss(batch).collect()
     assert sum(x["n"] for x in got) == 160 and len(got) == 16
+
+
+def test_mean_by_parts_is_the_collected_one(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    rows = [(k, r.normal(size=8).tolist(), np.eye(3)[k % 3].tolist()) for k in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, x array<float>, y array<float>")
+    model = c.Sequential([c.Dense(7, c.Xavier(), c.Tanh()), c.Dense(3, c.Xavier(), c.Softmax())])
+    data = c.DataFrameDataset(df, x_size=8, y_size=3)
+    runs = (
+        c.all_reduce(3, data, c.Adam(0.05), c.CrossEntropy(), 4, 8, seed=3, offline_epochs=1),
+        c.parameter_server(5, 2, data, c.GradientDescentWithMomentum(0.1, 0.5), c.CrossEntropy(), c.BarrierSync(), c.BlockingStore(), 3, 8, seed=3),
+    )
+    for t in runs:
+        one = orchestrate(spark, model, t).wait()
+        with monkeypatch.context() as m:
+            m.setattr(session, "COLLECTED_BYTES", 0)
+            m.setattr(session, "PART_VALUES", 10)
+            two = orchestrate(spark, model, t).wait()
+        assert np.array_equal(one.params, two.params) and one.history == two.history
+        assert one.events.collect() == two.events.collect()
