@@ -1,8 +1,11 @@
+import json
+
 import numpy as np
 import pytest
 
 import gradloom as g
 from gradloom import config as c
+from gradloom import __main__ as command
 from gradloom import session
 from gradloom.kernels.training import loss_of, run_epoch
 from gradloom.operators.partitioning import partitioned
@@ -10,6 +13,7 @@ from gradloom.plans.initial import initial_params
 from gradloom.plans.lowering import network
 from gradloom.plans.placement import contiguous
 from gradloom.session import EARLY, MANUAL, MAX_EPOCHS, TrainingError, orchestrate
+from gradloom.sinks.model import read_safetensors
 from gradloom.sources.tables import load
 from gradloom.strategies import ParameterServerRun
 
@@ -186,3 +190,24 @@ def test_mean_by_parts_is_the_collected_one(spark, monkeypatch):
             two = orchestrate(spark, model, t).wait()
         assert np.array_equal(one.params, two.params) and one.history == two.history
         assert one.events.collect() == two.events.collect()
+
+
+def test_command_line_saves_each_run(spark, tmp_path):
+    model = {"layers": [{"dense": {"output_size": 1, "init": "xavier"}}]}
+    training = {
+        "addrs": ["a", "b"],
+        "algorithm": "all_reduce",
+        "dataset": {"src": {"inline": {"samples": [0, 1, 2, 3], "labels": [1, 2, 3, 4]}}, "x_size": 1, "y_size": 1},
+        "optimizer": {"gradient_descent": {"lr": 0.1}},
+        "loss_fn": "mse",
+        "batch_size": 2,
+        "max_epochs": 2,
+        "seed": 4,
+    }
+    for name, value in (("m", model), ("t", training)):
+        (tmp_path / name).write_text(json.dumps(value))
+    args = [str(tmp_path / "m"), str(tmp_path / "t"), "--save-dir", str(tmp_path / "out")]
+    one, two = command.main(args, spark), command.main(args, spark)
+    assert one != two and all("seed4" in p for p in (one, two))
+    first, second = read_safetensors(one), read_safetensors(two)
+    assert first["layer_0.weight"].shape == (1, 1) and all(np.array_equal(first[k], second[k]) for k in first)
