@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Key ranges that global ranks are made of, at most.
-MOST_RANGES = 200
+#: Key ranges that global ranks are made of, at most: their bounds are literals of the plan. Beyond, ranges get larger.
+MOST_RANGES = 10_000
 
 
 def in_ranges(df: DataFrame, key: str, out: str = "_range") -> DataFrame:
     """Adds the number of a key range, in order of a numeric key. Bounds are quantiles, fixed as literals, so that
-    every evaluation deals rows alike."""
+    every evaluation deals rows alike; a row looks for its range among groups of bounds, then in its group."""
     n = min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = sorted(set(df.approxQuantile(key, [k / n for k in range(1, n)], 0.25 / n))) if n > 1 else []
     if not bounds:
         return df.withColumn(out, F.lit(0))
-    return df.withColumn(out, F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))))
+    width = math.isqrt(len(bounds) - 1) + 1
+    groups = [bounds[k : k + width] for k in range(0, len(bounds), width)]
+    up_to = lambda values: F.size(F.filter(values, lambda b: b <= F.col(key)))
+    group = up_to(F.lit([g[0] for g in groups]))
+    inner = F.when(group == 0, 0).otherwise((group - 1) * width + up_to(F.element_at(F.array(*map(F.lit, groups)), F.greatest(group, F.lit(1)))))
+    return df.withColumn(out, inner)
 
 
 def numbered(df: DataFrame, key: str, out: str = "rank") -> DataFrame:

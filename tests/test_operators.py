@@ -122,6 +122,20 @@ def test_threshold_of_nothing(spark):
     assert vectors.kept_runs(empty, vectors.exact_threshold(empty, 0.5)).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 2, 4, 50, 230])
+def test_ranges_are_in_order_whatever_their_number(spark, partitions):
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        df = spark.createDataFrame([(k * 37 % 1009,) for k in range(1009)], "x long")
+        rows = sorted(map(tuple, partitioning.in_ranges(df, "x").collect()))
+        assert [r for _, r in rows] == sorted(r for _, r in rows) and rows[0][1] == 0
+        assert len({r for _, r in rows}) >= 0.8 * partitions
+        if partitions < 50:
+            assert [r["rank"] for r in partitioning.numbered(df, "x").orderBy("x").collect()] == list(range(1009))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_redistribution_keeps_rows(spark):
     df = partitioning.partitioned(spark.range(23).withColumnRenamed("id", "row_id"), 5)
     out = partitioning.redistributed(df, [1], 5)
