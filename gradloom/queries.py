@@ -7,9 +7,6 @@ indices, so that any engine can compute them. Values are rounded, with ``+ 0.0``
 from __future__ import annotations
 
 import json
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -29,7 +26,7 @@ from .plans.lowering import layer_params
 from .plans.placement import placement
 from .plans.validate import layer_sizes
 from .session import orchestrate
-from .sources.tables import append, filesystem, history, idx_images, idx_labels, local, one_hot, subset
+from .sources.tables import append, filesystem, history, idx_images, idx_labels, local, one_hot, shared_folder, subset
 
 WORKERS, BATCH = 7, 64
 
@@ -413,16 +410,6 @@ def node_roles(spark, sf_dir):
 # Sources: tables written in each format and read back
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a temporary one in a local session that names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="gradloom-")
-    return f"{base if '://' in base else 'file://' + os.path.abspath(base)}/sources-{uuid.uuid4().hex}"
-
-
 def _read_back(df: DataFrame) -> DataFrame:
     total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
     return df.select("row_id", F.size("x").cast("long").alias("width"), _r(total, 4).alias("total"), _r(F.element_at("y", 1).cast("double")).alias("y"))
@@ -430,7 +417,7 @@ def _read_back(df: DataFrame) -> DataFrame:
 
 def text_source(spark, sf_dir):
     """Features as CSV with a header, labels as TSV, written in order of rows and paired by row number."""
-    folder, rows = _folder(spark), _rows(spark, sf_dir).orderBy("row_id")
+    folder, rows = shared_folder(spark), _rows(spark, sf_dir).orderBy("row_id")
     rows.select(*[F.element_at("x", k + 1).alias(f"f{k}") for k in range(64)]).coalesce(1).write.csv(f"{folder}/x.csv", header=True)
     _table(spark, sf_dir, "embeddings").orderBy("vec_id").select(F.col("label").cast("float")).coalesce(1).write.csv(f"{folder}/y.tsv", sep="\t")
     return _read_back(local(spark, c.LocalDataset(f"{folder}/x.csv", f"{folder}/y.tsv", 64, 1)))
@@ -438,7 +425,7 @@ def text_source(spark, sf_dir):
 
 def packed_source(spark, sf_dir):
     """Features and labels as little-endian floats without a header, a file a task."""
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.array(F.col("label").cast("float")).alias("y")).repartitionByRange(3, "vec_id").sortWithinPartitions("vec_id")
 
     def write(batches):
@@ -458,7 +445,7 @@ def packed_source(spark, sf_dir):
 
 def idx_source(spark, sf_dir):
     """Embeddings as 8x8 images of 256 grey values with their labels, in IDX files."""
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     grey = F.transform("embedding", lambda v: F.pmod(F.floor(F.abs(v.cast("double")) * 1000), F.lit(256)).cast("int"))
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", grey.alias("grey"), "label").repartition(1).sortWithinPartitions("vec_id")
 
@@ -480,7 +467,7 @@ def idx_source(spark, sf_dir):
 
 def history_source(spark, sf_dir):
     """Records in two files of JSON lines, of which the second repeats some keys."""
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     o = _table(spark, sf_dir, "orders").select(F.concat_ws("|", F.lit("s"), F.col("o_orderkey").cast("string")).alias("run_key"), "o_orderkey", (F.col("o_totalprice") / 7.0).alias("final_loss"))
     keyless = spark.createDataFrame([("no separator", 0, 0.0)], "run_key string, o_orderkey long, final_loss double")
     for name, rows in (("0", o.union(keyless)), ("1", o.filter(F.col("o_orderkey") % 4 == 0).withColumn("final_loss", -F.col("final_loss")))):

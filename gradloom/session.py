@@ -23,13 +23,13 @@ from .plans.lowering import layer_params, network
 from .plans.topology import roles
 from .plans.validate import validate, validate_rows
 from .sinks.model import params_table, save_safetensors
-from .sources.tables import count_rows, load
+from .sources.tables import count_rows, filesystem, load, shared_folder
 from .strategies import AllReduceRun, ParameterServerRun, Results, Strategy
 
 log = logging.getLogger("gradloom")
 
 EVENTS = "seq long, kind string, worker int, epoch int, loss double, detail string"
-#: Gradients of all workers up to which the driver adds them up itself, and values of a part beyond that.
+#: Vectors of all workers that go through the driver whole, in bytes together, and values of a part beyond that.
 COLLECTED_BYTES, PART_VALUES = 64 << 20, 1 << 20
 MAX_EPOCHS, EARLY, MANUAL = "max_epochs_reached", "early_stopping", "manual_stop"
 
@@ -56,8 +56,7 @@ def _kernel(net: Network, shared, t: c.TrainingConfig, epochs: int, seed: int |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = TaskContext.get().partitionId()
         x, y = _columns(batches)
-        start = shared.value
-        losses, grad = local_training(net, start[worker] if start.ndim == 2 else start, x, y, loss, batch, lr, epochs, seed, worker, first_epoch)
+        losses, grad = local_training(net, shared.of(worker), x, y, loss, batch, lr, epochs, seed, worker, first_epoch)
         yield pa.RecordBatch.from_arrays([pa.array([worker], pa.int32()), pa.array([losses], pa.list_(pa.float64())), pa.array([grad.tobytes()], pa.binary())], schema=schema)
 
     return run
@@ -88,6 +87,38 @@ def _mean(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([part], pa.int32()), "workers": pa.array([workers], pa.list_(pa.int32())), "losses": pa.array([losses], pa.list_(pa.list_(pa.float64()))), "body": pa.array([mean], pa.binary())})
 
 
+class Start:
+    """What the workers of a round start from. One vector, or vectors of all workers that are small together, are broadcast;
+    beyond that each worker's vector is a file of its own in the shared folder, and a worker reads no other."""
+
+    def __init__(self, spark: SparkSession, params: np.ndarray):
+        self.shared, self.folder = None, None
+        if params.ndim == 1 or params.nbytes <= COLLECTED_BYTES:
+            self.shared = spark.sparkContext.broadcast(params)
+            return
+        self.folder = shared_folder(spark)
+        fs, root = filesystem(self.folder)
+        fs.create_dir(root, recursive=True)
+        for worker, own in enumerate(params):
+            with fs.open_output_stream(f"{root}/{worker}") as out:
+                out.write(own.astype("<f4").tobytes())
+
+    def of(self, worker: int) -> np.ndarray:
+        if self.shared is not None:
+            start = self.shared.value
+            return start[worker] if start.ndim == 2 else start
+        fs, root = filesystem(self.folder)
+        with fs.open_input_file(f"{root}/{worker}") as source:
+            return np.frombuffer(source.read(), "<f4")
+
+    def free(self) -> None:
+        if self.shared is not None:
+            self.shared.unpersist()
+        else:
+            fs, root = filesystem(self.folder)
+            fs.delete_dir(root)
+
+
 @dataclass
 class TrainedModel:
     """Parameters of a finished run with its history."""
@@ -172,7 +203,7 @@ class Session:
         """One job: a task a worker, one row back from each, or, where gradients of all workers are large together, the
         mean gradient in parts that were added up part by part."""
         t, size = self.training, self.net.size
-        shared = self.spark.sparkContext.broadcast(self.strategy.start_params())
+        shared = Start(self.spark, self.strategy.start_params())
         kernel = _kernel(self.net, shared, t, epochs, self.seed if t.shuffle else None, first_epoch)
         try:
             if not self.strategy.needs_mean_alone or 4 * size * self.strategy.workers <= COLLECTED_BYTES:
@@ -181,7 +212,7 @@ class Session:
             parts = self.data.mapInArrow(lambda batches: _parts(kernel(batches), PART_VALUES), "part int, worker int, losses array<double>, body binary")
             rows = parts.groupBy("part").applyInArrow(_mean, "part int, workers array<int>, losses array<array<double>>, body binary").collect()
         finally:
-            shared.unpersist()
+            shared.free()
         rows.sort(key=lambda r: r["part"])
         nothing = np.zeros(0, np.float32)
         return {w: (list(x), nothing) for w, x in zip(rows[0]["workers"], rows[0]["losses"], strict=True)}, np.concatenate([np.frombuffer(r["body"], np.float32) for r in rows])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import PurePosixPath
 
 import numpy as np
@@ -45,6 +47,17 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``; a temporary one in a local session
+    that names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="gradloom-")
+    return f"{base if '://' in base else 'file://' + os.path.abspath(base)}/gradloom-{uuid.uuid4().hex}"
+
+
 def packed(spark: SparkSession, path: str, width: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(row_id, values): little-endian 32-bit floats without a header, ``width`` a row; of a folder all files by name.
 

@@ -181,6 +181,8 @@ def test_mean_by_parts_is_the_collected_one(spark, monkeypatch):
     runs = (
         c.all_reduce(3, data, c.Adam(0.05), c.CrossEntropy(), 4, 8, seed=3, offline_epochs=1),
         c.parameter_server(5, 2, data, c.GradientDescentWithMomentum(0.1, 0.5), c.CrossEntropy(), c.BarrierSync(), c.BlockingStore(), 3, 8, seed=3),
+        # Each worker starts from what it pulled, which goes by files when it is large.
+        c.parameter_server(5, 2, data, c.GradientDescent(0.1), c.CrossEntropy(), c.NonBlockingSync(), c.WildStore(), 3, 8, seed=3),
     )
     for t in runs:
         one = orchestrate(spark, model, t).wait()
