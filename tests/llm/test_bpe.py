@@ -60,6 +60,26 @@ def test_own_merges_agree_with_the_library(library):
         assert [ranks[p] for p in merge([piece[i : i + 1] for i in range(n)], ranks)] == library.encode_ordinary(piece.decode())
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_strings_merge_side_by_side_as_one_by_one(library, seed):
+    r = random.Random(seed)
+    alphabets = ["abcdefghijklmnop ", "aé日 🙂", "x", "theand ing", "\n\t ;.#"]
+    pieces = ["".join(r.choice(alphabets[k % 5]) for _ in range(r.randrange(1, 90))).encode() for k in range(400)]
+    ids, counts = bpe.tokenizer(PATH).merger.merge(pieces)
+    cuts = np.concatenate([[0], np.cumsum(counts)])
+    ranks = bpe.tokenizer(PATH).ranks
+    for k, piece in enumerate(pieces):
+        assert [ranks[p] for p in merge([piece[i : i + 1] for i in range(len(piece))], ranks)] == ids[cuts[k] : cuts[k + 1]].tolist()
+    assert bpe.tokenizer(PATH).merger.merge([])[0].tolist() == []
+
+
+def test_a_token_that_merges_cannot_reach_has_its_id():
+    # b+c goes first, so that a+b is out of reach; the library looks whole strings up first, too.
+    ranks = {bytes([k]): k for k in range(256)} | {b"bc": 256, b"ab": 257, b"abc": 258}
+    tok = bpe.Tokenizer(ranks)
+    assert tok.ids([b"abc", b"abcd"]) == [np.array([258], "<i4").tobytes(), np.array([258, 100], "<i4").tobytes()]
+
+
 def test_round_trip_of_awkward_rows(documents, library):
     docs = documents(AWKWARD, ids=[0, 1, 2, 3, 4, 5, 6, None, None], ids_="x", offsets="y")
     rows = bpe.round_trip(docs, PATH).collect()

@@ -104,3 +104,34 @@ def test_ids_are_the_library_s(stages):
 
 def test_run_gives_the_same(spark, corpus, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, corpus[0]).collect())) == sorted(map(tuple, stages[4].collect()))
+
+
+def write(spark, folder, rows, more=()):
+    schema = "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", {n} string" for n in more)
+    spark.createDataFrame([(*r, *("x" for _ in more)) for r in rows], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(r[0], k % 2, 0) for k, r in enumerate(rows)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_empty_tables(spark, tmp_path):
+    write(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_nulls_repeated_rows_and_clashing_names(spark, tmp_path):
+    r = random.Random(7)
+    text = lambda n: " ".join(f"word{r.randrange(5000)}" for _ in range(n)) + "."
+    one, two, long = text(80), text(90), text(20_000)
+    near = one.replace(one.split()[40], "changed", 1)
+    rows = [(3, one), (3, one), (3, one.replace(" ", "\n")), (5, near), (None, two), (None, two), (None, text(70)), (8, None), (9, ""), (10, long), (None, None)]
+    rows = [(i, t, None, None if k % 2 else "s", None if t is None else len(t)) for k, (i, t) in enumerate(rows)]
+    more = ("_id", "_own", "digest", "node", "size", "place", "h", "key", "cells")
+    write(spark, tmp_path, rows, more)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        path = f"{tmp_path}/stage{k}"
+        stage(spark, docs, str(tmp_path)).write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.columns == [*DATA_COLUMNS, *more]
+        if k == 2:
+            assert sorted((str(x["doc_id"]), len(words(x["text"]))) for x in docs.collect()) == [("10", 20_000), ("3", 80), ("None", 70), ("None", 90)]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()

@@ -116,3 +116,21 @@ def test_empty_tables(documents, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.fit(documents([]), labels) == []
     assert quality.quality(documents([]), []).count() == 0 and quality.keep_good(documents([]), []).count() == 0
+
+
+def test_a_labelled_id_counts_once_however_often_it_stands(spark, documents):
+    texts = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(30)]
+    docs = documents([*texts, *[texts[0]] * 500], ids=[*range(30), *[0] * 500])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, quality int")
+    seen = {}
+
+    def learn(table, good):
+        seen["rows"] = len(good)
+        return []
+
+    original, quality.learn = quality.learn, learn
+    try:
+        quality.fit(docs, labels)
+    finally:
+        quality.learn = original
+    assert seen["rows"] == 30

@@ -51,6 +51,37 @@ def test_empty_table(documents):
     assert tokencount.token_counts(documents([]), PATH).count() == 0
 
 
+def message(*fields):
+    """A protocol buffer message of (number, whole number or bytes)."""
+    out = b""
+    for number, value in fields:
+        out += bytes([number * 8 % 128 + 128, number // 16]) if number > 15 else b""
+        if isinstance(value, int):
+            out += (b"" if number > 15 else bytes([number * 8])) + bytes([value])
+        else:
+            out += bytes([number * 8 + 2, len(value)]) + value
+    return out
+
+
+def test_models_of_other_rules_are_refused():
+    plain = [(1, message((1, b"a"))), (2, message((3, 2))), (3, message((4, 0)))]
+    tokencount.refuse_others(message(*plain))
+    with open(PATH, "rb") as f:
+        tokencount.refuse_others(f.read())
+    others = {
+        "BPE": [plain[0], (2, message((3, 1))), plain[2]],
+        "behind": [plain[0], (2, message((3, 2), (24, 1))), plain[2]],
+        "maps": [*plain[:2], (3, message((2, b"x"), (4, 0)))],
+        "leading": [*plain[:2], (3, message((3, 0), (4, 0)))],
+        "removes": [*plain[:2], (3, message((5, 1)))],
+        "unmarked": [*plain[:2], (3, message((4, 0), (5, 0)))],
+        "users": [(1, message((1, b"a"), (3, 4))), *plain[1:]],
+    }
+    for word, fields in others.items():
+        with pytest.raises(ValueError, match=word):
+            tokencount.refuse_others(message(*fields))
+
+
 @pytest.mark.parametrize("text", ["a" * 5000, " " * 5000, "\n" * 300])
 def test_long_pre_tokens(text):
     assert counts([text]) == [len(LIBRARY.encode(text))]
