@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir), works on all that the one before it kept, and is written as
 Parquet before the next reads it.
+
+Defined cases: null and empty texts go in the first stage, which wants 20 words; very long texts are read
+whole; null ids sort after all others where one of several rows stays; of rows that repeat id and text one
+stays; null sources are a source of their own; ties are broken by id, then text; empty tables give empty
+results; other columns are carried through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
