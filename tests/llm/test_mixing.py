@@ -30,7 +30,7 @@ def totals(spark, sizes):
     return spark.createDataFrame([(None if k is None else k, n) for k, n in sizes], "source string, source_size long")
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_targets(spark, seed):
     r = np.random.default_rng(seed)
     names = [None, *(f"s{k}" for k in range(30))]
@@ -96,13 +96,6 @@ def test_many_sources(documents, spark):
     assert got[4] == pytest.approx(got[1]) and abs(got[2] - got[1]) < 0.05 * got[1]
 
 
-def test_salted_plan_gives_the_same(documents, monkeypatch):
-    docs, *_ = corpus(documents)
-    one = sorted(map(tuple, mixing.mix(docs).collect()))
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
-    assert sorted(map(tuple, mixing.mix(docs).collect())) == one
-
-
 def corpus(documents):
     r = np.random.default_rng(1)
     texts = [" ".join(f"w{x}" for x in r.integers(0, 50, int(n))) for n in r.lognormal(4.5, 1, 400)]
@@ -125,25 +118,22 @@ def test_mix_comes_near_its_targets(documents):
     assert all(r["taken"] <= 3 * r["size"] and r["size"] == len(words(texts[k])) for k, r in rows.items())
 
 
-def test_reruns_agree_however_rows_lie(documents, spark):
-    docs, *_ = corpus(documents)
+def test_reruns_agree_however_rows_lie_and_the_plan_travels(documents, spark, monkeypatch):
+    docs, texts, _ = corpus(documents)
     one = sorted(map(tuple, mixing.mix(docs).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "7")
+    # The second run deals the plan out by salts.
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
     two = sorted(map(tuple, mixing.mix(docs.repartition(5, "text")).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert one == two
-
-
-def test_mixed_documents_are_what_was_taken(documents):
-    docs, texts, _ = corpus(documents)
-    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()}
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
-    got = dict.fromkeys(taken, 0)
+    got = dict.fromkeys(range(len(texts)), 0)
     for r in out.collect():
         got[r["doc_id"]] += len(words(r["text"]))
         assert r["text"] in texts[r["doc_id"]] and r["n_chars"] == len(r["text"])
-    assert got == taken
+    assert got == {r[0]: r[4] for r in one}
 
 
 def test_awkward_rows(documents):
